@@ -1,7 +1,9 @@
 """Queries of this subpackage, by the names under which they are registered, and their SQL where it can say them."""
 
 from .knn_join import OP10_SQL, op10_voronoi_knn
+from .packing import op5_best_fit_packing
 from .range_join import OP4_SQL, op4_near_vectors
+from .warc import OP3_SQL, op3_warc
 
-QUERIES = {f.__name__: f for f in (op4_near_vectors, op10_voronoi_knn)}
-SQL = {"op4_near_vectors": OP4_SQL, "op10_voronoi_knn": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op3_warc, op4_near_vectors, op5_best_fit_packing, op10_voronoi_knn)}
+SQL = {"op3_warc": OP3_SQL, "op4_near_vectors": OP4_SQL, "op10_voronoi_knn": OP10_SQL}
