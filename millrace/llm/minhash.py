@@ -112,6 +112,21 @@ def _test(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
     return near.join(of(texts, "a"), "a").join(of(texts, "b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long")
 
 
+_PLACE = f"pmod(xxhash64(doc_id), {BITS})"
+
+
+def bitmap(ids: DataFrame) -> DataFrame:
+    """A set of doc_ids as bits of their hashes, in words of 64: BITS / 64 rows at most, however many ids."""
+    words = ids.where("doc_id IS NOT NULL").groupBy(F.expr(f"{_PLACE} div 64").alias("_word")).agg(F.expr(f"bit_or(shiftleft(1L, CAST({_PLACE} % 64 AS INT)))").alias("_bits"))
+    return F.broadcast(cut(words))
+
+
+def marked(df: DataFrame, bits: DataFrame) -> DataFrame:
+    """``df`` with _hit = 1 in rows whose doc_id may be in the set; 0 says that it is not."""
+    met = df.join(bits, F.expr(f"{_PLACE} div 64 = _word"), "left")
+    return met.withColumn("_hit", F.expr(f"coalesce(getbit(_bits, CAST({_PLACE} % 64 AS INT)), 0)")).drop("_word", "_bits")
+
+
 def near_documents(documents: DataFrame, pivots: int = 2) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document: the smallest doc_id that links lead to.
 
@@ -151,10 +166,8 @@ def near_documents(documents: DataFrame, pivots: int = 2) -> DataFrame:
     lists = stash(shared.select("v", "doc_id"), "lists")
 
     # candidates by a bitmap of fixed size; where it fills up, it only saves less
-    place = f"pmod(xxhash64(doc_id), {BITS})"
-    bits = lists.select("doc_id").distinct().groupBy(F.expr(f"{place} div 64").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, CAST({place} % 64 AS INT)))").alias("bits"))
-    bits = F.broadcast(cut(bits))  # BITS / 64 rows at most
-    asked = lambda df: df.join(bits, F.expr(f"{place} div 64 = word")).where(F.expr(f"getbit(bits, CAST({place} % 64 AS INT)) = 1")).drop("word", "bits")
+    bits = bitmap(lists.select("doc_id"))
+    asked = lambda df: marked(df, bits).where("_hit = 1").drop("_hit")
     sketches = stash(asked(heads).select("doc_id", "n", "low"), "asked-sketches")
     texts = stash(once(asked(rows)), "asked-texts")
 
@@ -203,6 +216,21 @@ def near_documents(documents: DataFrame, pivots: int = 2) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def drop_near_copies(documents: DataFrame) -> DataFrame:
+    """``documents`` without those that links lead from to a smaller doc_id.
+
+    Texts whose id is in no removed id's place of a bitmap stay where they are; only the
+    others, little more than those removed, are shuffled to be held against the removed ids.
+    """
+    told = near_documents(documents)
+    gone = cut(told.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct())
+    if gone.isEmpty():
+        return documents
+    met = marked(documents, bitmap(gone))
+    maybe = met.where("_hit = 1").drop("_hit").join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    return met.where("_hit = 0").drop("_hit").unionByName(maybe)
+
+
 def op8_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_documents(table(spark, sf_dir, "documents"))
 
