@@ -1,0 +1 @@
+"""Millrace: a relational query engine on Spark, with operators for corpora of training data."""

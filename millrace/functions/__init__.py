@@ -1,0 +1 @@
+"""Columns from parsed predicates and arithmetic."""

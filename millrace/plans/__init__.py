@@ -1,0 +1 @@
+"""From query text to a DataFrame."""

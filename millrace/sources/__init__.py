@@ -1,0 +1 @@
+"""Tables: delimited text in, stored tables, text out."""
