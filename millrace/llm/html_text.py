@@ -64,6 +64,7 @@ class Block:
     heading: bool = False
     text: str = ""
     label: int = UNSURE
+    barred: bool = False
 
 
 def _names(attributes: dict[str, str]) -> list[str]:
@@ -208,16 +209,15 @@ def _first_pass(every: list[Block]) -> None:
             size.update({e.index: len(b.text) for e in b.path if e.soft})
     holds.update(i for i, n in size.items() if n > FRAME * total)
     has_main = False
-    barred = []
     for b in every:
         bar = any(e.hidden or e.marked and not (e.soft and not e.readers and e.tag not in OUTSIDE and e.index in holds) for e in b.path)
-        barred.append(bar)
+        b.barred = bar
         has_main |= not bar and any(e.main for e in b.path)
-    for b, bar in zip(every, barred, strict=True):
+    for b in every:
         words = b.text.split()
         density = b.linked / max(1, len("".join(words)))
         stops = sum(w.strip(".,;:!?()[]\"'*#$%&|-").lower() in STOP_WORDS for w in words) / max(1, len(words))
-        if bar or density > LINKS or has_main and not any(e.main for e in b.path):
+        if b.barred or density > LINKS or has_main and not any(e.main for e in b.path):
             b.label = BAD
         elif b.text.startswith(("©", "(c) ", "Copyright ")) and not has_main:
             b.label = BAD
@@ -234,16 +234,18 @@ def _second_pass(every: list[Block]) -> None:
     of its own, and in a page without any good block, all open blocks are the main text.
     """
     labels = [b.label for b in every]
+    within = any(e.main for b in every if not b.barred for e in b.path)
+    told = [0 if b.barred and within else b.label for b in every]  # what is barred by name says nothing about an article around it
     home = [next((e.index for e in reversed(b.path) if e.main), -1) for b in every]
     settled = {h for h, x in zip(home, labels, strict=True) if x == GOOD}
     before, last = [], None
-    for i, x in enumerate(labels):
+    for i, x in enumerate(told):
         before.append(last)
         last = i if x else last
     after, last = [None] * len(every), None
     for i in range(len(every) - 1, -1, -1):
         after[i] = last
-        last = i if labels[i] else last
+        last = i if told[i] else last
     for i, b in enumerate(every):
         if labels[i]:
             continue
@@ -251,7 +253,7 @@ def _second_pass(every: list[Block]) -> None:
             b.label = GOOD
             continue
         near = [(j - i if b.heading and j is after[i] and j > i and labels[j] == GOOD and j - i <= 2 else 2 * abs(j - i) + (home[j] != home[i]) * 1000 * (home[i] >= 0), -labels[j], labels[j]) for j in (before[i], after[i]) if j is not None]
-        b.label = min(near)[2]
+        b.label = min(near)[2] if near else GOOD
 
 
 def main_text(page: str | None) -> str:

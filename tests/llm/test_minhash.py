@@ -1,0 +1,95 @@
+import random
+import re
+
+import pytest
+
+from millrace.llm import minhash
+from millrace.llm.minhash import OP8_SQL, drop_near_copies, near_documents, op8_bottom_k
+
+
+def test_against_sql(spark, duck, got, sf):
+    assert got(op8_bottom_k(spark, sf("sf0.001"))) == duck("sf0.001", OP8_SQL)
+
+
+def sets(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain(rows):
+    own = {i: sets(t) for i, t in rows}
+    link = lambda a, b: bool(a and b) and 100 * len(a & b) >= 75 * len(a | b)
+    out = {}
+    for i in own:
+        seen, todo = {i}, [i]
+        while todo:
+            at = todo.pop()
+            for j in own:
+                if j not in seen and link(own[at], own[j]):
+                    seen.add(j)
+                    todo.append(j)
+        out[i] = (len(own[i]), min(seen), min(seen) == i)
+    return out
+
+
+def corpus():
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    say = lambda n: [rng.choice(words) for _ in range(n)]
+    rows, base, long, passage = [], say(150), say(900), say(60)
+    for i in range(70):  # near copies of one text, more and less alike
+        t = list(base)
+        for _ in range(rng.randint(0, 6)):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        rows.append(" ".join(t))
+    for _ in range(8):
+        t = list(long)
+        for _ in range(rng.randint(0, 25)):
+            t[rng.randrange(len(t))] = "z"
+        rows.append("\n".join(t))
+    rows += [" ".join(passage + say(rng.randint(20, 60))) for _ in range(40)]  # a passage that many share
+    rows += [" ".join(say(rng.randint(1, 12))) for _ in range(30)]
+    rows += ["A b C", "a B c", "a b", "", None, " \t\n", "x", "X", "a b c d e", "A B C D E", "a b c d e f", "É É", "é é", "one\x85two three"]
+    rows += [" ".join(base)] * 5
+    order = list(range(len(rows)))
+    rng.shuffle(order)
+    return [(3 * k, rows[i]) for k, i in enumerate(order)]
+
+
+def test_against_all_pairs(docs):
+    rows = corpus()
+    got = near_documents(docs(rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == plain(rows) and len(got) == len(rows)
+
+
+def test_lists_are_worked_off_without_lucky_pivots(docs, monkeypatch):
+    rows = corpus()
+    got = near_documents(docs(rows), pivots=0).collect()  # all links from the last step
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == plain(rows)
+
+
+def test_odd_rows(docs):
+    assert near_documents(docs([])).count() == 0
+    text = "a b c d e f g h"
+    got = sorted((tuple(r) for r in near_documents(docs([(1, text), (1, text), (None, text), (2, text), (5, None)])).collect()), key=str)
+    assert got == sorted([(1, 4, 1, True), (1, 4, 1, True), (None, 4, None, False), (2, 4, 1, False), (5, 0, 5, True)], key=str)
+
+
+def test_removal_keeps_one_of_each_group(docs):
+    rows = corpus()
+    df = docs(rows)
+    kept = drop_near_copies(df)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, x in plain(rows).items() if x[2])
+    assert drop_near_copies(docs([(1, "a"), (None, "b")])).count() == 2
+
+
+@pytest.mark.parametrize("n, least", [(1, 1), (4, 3), (48, 36), (49, 24), (64, 32), (5000, 32)])
+def test_needed(n, least):
+    assert minhash.needed(n) == least
+
+
+def test_words_are_split_and_lowered_as_asked():
+    assert len(minhash.shingles("A\x0bb\x0cC\r\nd\te")) == 1
+    assert (minhash.shingles("É a b c d e") != minhash.shingles("é a b c d e")).any()
+    assert len(minhash.shingles("a b c")) == 1 and minhash.shingles("a b")[0] != minhash.shingles("a b a b a b a b")[0]

@@ -1,0 +1,42 @@
+import zlib
+from collections import Counter, defaultdict
+
+from millrace.llm.sharding import op6_label_propagation, shard_documents
+
+
+def check(rows, texts, shards):
+    assert sorted(((r.doc_id, r.size, r.text_crc32) for r in rows), key=str) == sorted(((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in texts), key=str)
+    slots = defaultdict(list)
+    for r in rows:
+        assert r.law == "rows" and r.grown_shard is None and 0 <= r.shard < shards
+        slots[r.shard].append(r.slot)
+    sizes = [len(slots[s]) for s in range(shards)]
+    assert max(sizes) - min(sizes) <= 1
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    where = defaultdict(Counter)
+    for r in rows:
+        where[r.text_crc32, r.size][r.shard] += 1
+    return where
+
+
+def test_query(spark, sf):
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(sf("sf0.01") + "/documents.parquet").select("doc_id", "text").collect()]
+    where = check(op6_label_propagation(spark, sf("sf0.01")).collect(), texts, 40)
+    linked = [w for w in where.values() if sum(w.values()) > 1]
+    assert len(linked) > 5 and all(len(w) == 1 for w in linked if sum(w.values()) <= 25)
+
+
+def test_a_group_of_a_third_fills_whole_shards(docs):
+    texts = [(i, "same" if i % 3 == 0 else f"pair {i // 6}" if i % 3 == 1 else f"own {i}") for i in range(3000)]
+    where = check(shard_documents(docs(texts), 20).collect(), texts, 20)
+    assert len(where[zlib.crc32(b"same"), 20]) <= 8  # 1000 rows, 150 a shard
+    assert sum(len(w) > 1 for w in where.values()) <= 20
+
+
+def test_odd_rows(docs):
+    texts = [(1, None), (2, ""), (None, "a"), (3, "a"), (3, "a"), (3, "b"), (4, "é" * 90_000), (None, "a")]
+    for shards in (1, 3, 8, 11):
+        check(shard_documents(docs(texts), shards).collect(), texts, shards)
+    assert shard_documents(docs([])).count() == 0
+    same = [(i, "x") for i in range(50)]
+    check(shard_documents(docs(same), 7).collect(), same, 7)

@@ -1,0 +1,84 @@
+import hashlib
+import struct
+
+import pytest
+import zstandard
+
+from millrace.llm import warc
+from millrace.llm.warc import OP3_SQL, op3_warc, parse_record, read_archives, write_archives
+
+
+def test_against_sql(spark, duck, got, sf):
+    assert got(op3_warc(spark, sf("sf0.001"))) == duck("sf0.001", OP3_SQL)
+
+
+def pages(spark, rows):
+    return spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS payload_digest", "1 AS refers_to", "2 AS value")
+
+
+def plain(rows):
+    first, out = {}, []
+    raw = [(i, u, (h or "").encode()) for i, u, h in rows]
+    for i, _, h in raw:
+        if len(h) >= 100 and i is not None:
+            first[h] = min(first.get(h, i), i)
+    for i, u, h in raw:
+        to = first.get(h) if i is not None and h in first and i > first[h] else None
+        out.append((i, len(h), hashlib.sha256(h).hexdigest(), "response" if to is None else "revisit", to, u, h if to is None else None))
+    return out
+
+
+def test_round_trip(spark, tmp_path):
+    long = "é\r\n\r\n<p>" + "x" * 200
+    rows = [(5, "http://a", long), (3, "http://b", long), (9, None, long), (3, "http://b", long), (1, "u\r\nX: y%0A", None), (2, "", ""), (4, "s", "y" * 99), (6, "s", "y" * 99), (7, "s", "z" * 100), (8, "s", "z" * 100), (None, "n", long), (10, "b", "".join(map(chr, range(1, 500)))), (11, "big", "ab" * 400_000)]
+    for n in (1, 4):
+        path = str(tmp_path / f"archives{n}")
+        write_archives(pages(spark, rows).repartition(n), path)
+        got = [tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in read_archives(spark, path).collect()]
+        assert sorted(got, key=repr) == sorted(plain(rows), key=repr)
+
+
+def test_nothing(spark, tmp_path):
+    write_archives(pages(spark, []), str(tmp_path / "none"))
+    assert read_archives(spark, str(tmp_path / "none")).count() == 0
+
+
+def archive(records, dictionary=None):
+    out = b""
+    if dictionary is not None:
+        out = struct.pack("<II", warc.DICTIONARY_MAGIC, len(dictionary)) + dictionary
+    pack = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary is not None else None)
+    return out + b"".join(pack.compress(r) + warc.BETWEEN.encode() for r in records)
+
+
+def record(kind="response", block=b"HTTP/1.1 200 OK\r\n\r\nhi", length=None, **more):
+    head = {"WARC-Type": kind, "WARC-Record-ID": "<urn:page:1>", "WARC-Date": "1970-01-01T00:00:00Z", "Content-Type": "application/http", "Content-Length": len(block) if length is None else length} | {k.replace("_", "-"): v for k, v in more.items()}
+    return b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in head.items() if v is not None) + b"\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_others(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "1.warc.zst").write_bytes(archive([record(), record(block=b"HTTP/1.1 200 OK\r\n\r\nho")], b"HTTP/1.1 200 OK" * 9))
+    (tmp_path / "a" / "2.warc.zst").write_bytes(archive([record(block=b"", Content_Type="text/plain")]))
+    assert sorted(bytes(r.payload) for r in read_archives(spark, str(tmp_path / "a")).collect()) == [b"", b"hi", b"ho"]
+
+
+@pytest.mark.parametrize(
+    "raw",
+    [
+        b"", b"nonsense\r\n\r\n\r\n\r\n", record().replace(b"WARC/1.1", b"WARC/9.9"), record(length=5), record(length=-1), record(length="x"), record()[:-2], record(WARC_Date=None), record(WARC_Type=None),
+        record(WARC_Payload_Digest="sha256:00"), record(WARC_Block_Digest="sha256:00"), record(X_Payload_Length=9), record("revisit"), record().replace(b"WARC-Date: ", b"WARC-Date "),
+    ],
+)
+def test_wrong_records(raw):
+    with pytest.raises(ValueError):
+        parse_record(raw)
+
+
+@pytest.mark.parametrize("change", [lambda a: a[:-12], lambda a: a[:30], lambda a: b"xx" + a, lambda a: a + b"\x50", lambda a: archive([record()]) + archive([record()], b"d" * 64)])
+def test_wrong_archives(change):
+    data = change(archive([record()], b"d" * 64))
+    with pytest.raises((ValueError, zstandard.ZstdError)):
+        for k, (magic, frame) in enumerate(warc._frames(memoryview(data))):
+            if magic == warc.DICTIONARY_MAGIC and k:
+                raise ValueError("late dictionary")
