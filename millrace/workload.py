@@ -42,6 +42,8 @@ def _folder(spark: SparkSession) -> str:
     """A new folder for tables that a query writes: below the session's shared folder where it names one."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         return tempfile.mkdtemp(prefix="millrace-tables-")
     return f"{shared}/tables-{uuid.uuid4().hex}"
 
