@@ -32,8 +32,17 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 def dump(**arrays: np.ndarray) -> bytes:
-    """Arrays as one string: their bytes plane by plane, as high ones are mostly zero, under Zstandard."""
+    """Arrays as one string: their bytes plane by plane, as high ones are mostly zero, under Zstandard.
+
+    Floats of few values are numbered.
+    """
     pack, head, out = zstandard.ZstdCompressor(level=1), [], []
+    for name, a in list(arrays.items()):
+        if a.dtype.kind == "f" and a.size:
+            values, at = np.unique(a, return_inverse=True)
+            if len(values) < min(65536, len(a) / 2):
+                del arrays[name]
+                arrays |= {name: values, f"{name}_at": at.astype("u2")}
     for name, a in arrays.items():
         out.append(pack.compress(np.ascontiguousarray(a).view("u1").reshape(-1, a.itemsize).T.tobytes()) if a.size else b"")
         head.append([name, a.dtype.str, len(a), len(out[-1])])
@@ -49,6 +58,8 @@ def load(raw: bytes) -> dict[str, np.ndarray]:
         planes = np.frombuffer(unpack.decompress(raw[at : at + size]), "u1") if length else np.empty(0, "u1")
         out[name] = np.ascontiguousarray(planes.reshape(kind.itemsize, length).T).view(kind).reshape(length)
         at += size
+    for name in [n for n in out if n.endswith("_at")]:
+        out[name[:-3]] = out[name[:-3]][out.pop(name)]
     return out
 
 
@@ -59,7 +70,7 @@ def tokens(text: str | None) -> np.ndarray:
     try:
         ids = [seen[w] for w in words]
     except KeyError:
-        if len(seen) > 400_000:
+        if len(seen) > 250_000:
             seen.clear()
         for w in set(words).difference(seen):
             seen[w] = max(16, xxhash.xxh3_64_intdigest(w))
@@ -73,12 +84,12 @@ def learns(doc_id) -> bool:
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole documents in batches: their tokens as places in a sorted vocabulary, a row a batch."""
+    """Whole documents in batches: their tokens as places in the batch's vocabulary, a row a batch."""
     held, ids, size, nth, task = [], [], 0, 0, TaskContext.get().partitionId()
 
     def row() -> pa.RecordBatch:
         words, at = np.unique(np.concatenate(held), return_inverse=True)
-        raw = dump(words=words, at=at.astype("u4"), length=np.array(list(map(len, held)), "u4"), id=np.array([i or 0 for i in ids], "i8"), null=np.array([i is None for i in ids]), learn=np.array(list(map(learns, ids))))
+        raw = dump(words=words, where=at.astype("u4"), length=np.array(list(map(len, held)), "u4"), id=np.array([i or 0 for i in ids], "i8"), null=np.array([i is None for i in ids]), learn=np.array(list(map(learns, ids))))
         return pa.RecordBatch.from_arrays([pa.array([task << 32 | nth], pa.int64()), pa.array([size], pa.int64()), pa.array([raw], pa.binary())], ["batch", "tokens", "raw"])
 
     for b in batches:
@@ -119,7 +130,7 @@ class Batch:
     def __init__(self, raw: bytes, plan: Plan):
         self.plan, got = plan, load(raw)
         self.length, self.id, self.null, self.learn = got["length"].astype("i8"), got["id"], got["null"], got["learn"]
-        self.words = got["words"][got["at"]]
+        self.words = got["words"][got["where"]]
         self.first = np.repeat(np.cumsum(self.length) - self.length, self.length)  # of each token's document
         self.taught = np.repeat(self.learn, self.length)
         self.context = np.full(len(self.words), EMPTY)
@@ -149,7 +160,8 @@ class Batch:
         count = np.bincount(self.of[self.taught], minlength=len(self.order))[self.order]
         for b, (part, heads, runs) in enumerate(self.parts):
             if len(heads):
-                yield b, dump(head=heads, run=runs.astype("u4"), gram=self.gram[part], p=self.p[self.at[part]], n=count[part].astype("u4"))
+                # of higher levels 48 bits go along, as they need only tell n-grams of one context apart
+                yield b, dump(head=heads, run=runs.astype("u4"), gram=self.gram[part] >> np.uint64(16 * (self.level > 0)), p=self.p[self.at[part]], n=count[part].astype("u4"))
 
     def settle(self, replies: dict[int, dict]) -> None:
         """Probabilities of this level from what the buckets hold: counts of n-grams and, of contexts, sums that add up over buckets."""
@@ -190,11 +202,13 @@ class Batch:
 def _answer(rows: pa.Table) -> Iterator[tuple[int, bytes]]:
     """A bucket's n-grams over all batches: for each batch the counts of what it asked for. Batch -1 has the counts of counts."""
     got = [load(r) for r in rows.column("raw").to_pylist()]
-    grams, heads = [g["gram"] for g in got], [g["head"] for g in got]
-    gram, at, of = np.unique(np.concatenate(grams), return_index=True, return_inverse=True)
-    n = np.bincount(of, np.concatenate([g["n"] for g in got]), len(gram)).astype("i8")
+    heads = [g["head"] for g in got]
+    under = np.concatenate([np.repeat(h, g["run"]) for h, g in zip(heads, got, strict=True)])
+    _, at, of = np.unique(_mixed(under * _ONE ^ np.concatenate([g["gram"] for g in got])), return_index=True, return_inverse=True)
+    under = under[at]
+    n = np.bincount(of, np.concatenate([g["n"] for g in got]), len(at)).astype("i8")
     head, head_of = np.unique(np.concatenate(heads), return_inverse=True)
-    own = np.searchsorted(head, np.concatenate([np.repeat(h, g["run"]) for h, g in zip(heads, got, strict=True)])[at])
+    own = np.searchsorted(head, under)
     p = np.concatenate([g["p"] for g in got])[at]
     seen = n > 0
     sums = [np.bincount(own, n, len(head)).astype("i8")]
