@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import stash, table
 
 CUTOFF = 5  # counts above it are not discounted
-BATCH = 2_000_000  # tokens, unless one document has more
+BATCH = 1_500_000  # tokens, unless one document has more
 END, START, EMPTY = np.uint64(1), np.uint64(2), np.uint64(3)
 _ONE = np.uint64(0x9E3779B97F4A7C15)
 _SEEN: dict[bytes, int] = {}
@@ -88,8 +88,11 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, ids, size, nth, task = [], [], 0, 0, TaskContext.get().partitionId()
 
     def row() -> pa.RecordBatch:
-        words, at = np.unique(np.concatenate(held), return_inverse=True)
-        raw = dump(words=words, where=at.astype("u4"), length=np.array(list(map(len, held)), "u4"), id=np.array([i or 0 for i in ids], "i8"), null=np.array([i is None for i in ids]), learn=np.array(list(map(learns, ids))))
+        words, at, n = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+        common = np.argsort(-n, kind="stable")  # small numbers for common words pack best
+        rank = np.empty(len(words), "u4")
+        rank[common] = np.arange(len(words), dtype="u4")
+        raw = dump(words=words[common], where=rank[at], length=np.array(list(map(len, held)), "u4"), id=np.array([i or 0 for i in ids], "i8"), null=np.array([i is None for i in ids]), learn=np.array(list(map(learns, ids))))
         return pa.RecordBatch.from_arrays([pa.array([task << 32 | nth], pa.int64()), pa.array([size], pa.int64()), pa.array([raw], pa.binary())], ["batch", "tokens", "raw"])
 
     for b in batches:
@@ -160,8 +163,9 @@ class Batch:
         count = np.bincount(self.of[self.taught], minlength=len(self.order))[self.order]
         for b, (part, heads, runs) in enumerate(self.parts):
             if len(heads):
-                # of higher levels 48 bits go along, as they need only tell n-grams of one context apart
-                yield b, dump(head=heads, run=runs.astype("u4"), gram=self.gram[part] >> np.uint64(16 * (self.level > 0)), p=self.p[self.at[part]], n=count[part].astype("u4"))
+                # of higher levels 48 bits go along, as they need only tell the contexts of a bucket and the n-grams of one context apart
+                few = np.uint64(16 * (self.level > 0))
+                yield b, dump(head=heads >> few, run=runs.astype("u4"), gram=self.gram[part] >> few, p=self.p[self.at[part]], n=count[part].astype("u4"))
 
     def settle(self, replies: dict[int, dict]) -> None:
         """Probabilities of this level from what the buckets hold: counts of n-grams and, of contexts, sums that add up over buckets."""
@@ -237,7 +241,7 @@ def _upto(raw: bytes, plan: Plan, replies: pa.Table, level: int) -> Batch:
     return batch
 
 
-def katz(documents: DataFrame, order: int = 2, bucket_tokens: int = 4_000_000) -> DataFrame:
+def katz(documents: DataFrame, order: int = 2, bucket_tokens: int = 2_000_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
     A document's tokens are its words and END; START stands before them and is not counted.
