@@ -15,9 +15,11 @@ from .common import cut, stash, table
 from .components import components
 
 WORDS = 5
-K = 64  # values in a sketch
-#: Of the k least values of a union, one in both sets with chance J. At J = 0.75 fewer than half of 64 have a chance of 6 in a million.
-LEAST_SHARE = 0.5
+K = 128  # values in a sketch
+#: Of the k least values of a union, each is in both sets with chance J. At J = 0.75 fewer than 72 of 128 have a chance of about one in a million.
+LEAST_SHARE = 0.5625
+#: Sizes of documents fall into classes that each span this ratio; linked ones lie two classes apart at most.
+CLASS = math.sqrt(4 / 3)
 BITS = 1 << 23  # of the filter of candidates: 1 MB, whatever the input's size
 _ONE = np.uint64(0x9E3779B97F4A7C15)
 _SEEN: dict[bytes, int] = {}
@@ -42,7 +44,7 @@ def shingles(text: str | None) -> np.ndarray:
     try:
         ids = [seen[w] for w in words]
     except KeyError:
-        if len(seen) > 400_000:
+        if len(seen) > 250_000:
             seen.clear()
         for w in set(words).difference(seen):
             seen[w] = xxhash.xxh3_64_intdigest(w)
@@ -65,8 +67,8 @@ def needed(n: int) -> int:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for at in range(0, b.num_rows, 1000):
-            part = b.slice(at, 1000)
+        for at in range(0, b.num_rows, 500):
+            part = b.slice(at, 500)
             sets = [shingles(t) for t in part.column("text").to_pylist()]
             low = [s[:K].view("i8") for s in sets]
             ends = np.cumsum([0, *map(len, low)]).astype("i4")
@@ -91,6 +93,15 @@ def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
+def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, 500):
+            part = b.slice(at, 500)
+            sets = [shingles(t) for t in part.column("text").to_pylist()]
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("doc_id").to_numpy(), list(map(len, sets)))), pa.array(np.concatenate(sets).view("i8"))], ["a", "s"])
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 500):
@@ -105,11 +116,22 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
+def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        both = [len(np.intersect1d(shingles(x), shingles(y), assume_unique=True)) for x, y in zip(b.column("text_a").to_pylist(), b.column("text_b").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(both, pa.int64())], ["a", "hub", "inside"])
+
+
+def _pairs(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the columns of both documents."""
+    of = lambda side: rows.select(*(F.col(c).alias(side if c == "doc_id" else f"{c}_{side}") for c in rows.columns))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", *(f"{c}_{x}" for c in rows.columns if c != "doc_id" for x in "ab"))
+
+
 def _test(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) that are linked: estimated on sketches first, then compared on whole texts."""
-    of = lambda df, side: df.select(*(F.col(c).alias(side if c == "doc_id" else f"{c}_{side}") for c in df.columns))
-    near = pairs.join(of(sketches, "a"), "a").join(of(sketches, "b"), "b").select("a", "b", "low_a", "low_b", "n_a", "n_b").mapInArrow(_estimate, "a long, b long")
-    return near.join(of(texts, "a"), "a").join(of(texts, "b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a long, b long")
+    near = _pairs(pairs, sketches).select("a", "b", "low_a", "low_b", "n_a", "n_b").mapInArrow(_estimate, "a long, b long")
+    return _pairs(near, texts).mapInArrow(_confirm, "a long, b long")
 
 
 _PLACE = f"pmod(xxhash64(doc_id), {BITS})"
@@ -117,17 +139,17 @@ _PLACE = f"pmod(xxhash64(doc_id), {BITS})"
 
 def bitmap(ids: DataFrame) -> DataFrame:
     """A set of doc_ids as bits of their hashes, in words of 64: BITS / 64 rows at most, however many ids."""
-    words = ids.where("doc_id IS NOT NULL").groupBy(F.expr(f"{_PLACE} div 64").alias("_word")).agg(F.expr(f"bit_or(shiftleft(1L, CAST({_PLACE} % 64 AS INT)))").alias("_bits"))
+    words = ids.where("doc_id IS NOT NULL").groupBy(F.expr(f"{_PLACE} div 64").alias("_millrace_word")).agg(F.expr(f"bit_or(shiftleft(1L, CAST({_PLACE} % 64 AS INT)))").alias("_millrace_bits"))
     return F.broadcast(cut(words))
 
 
 def marked(df: DataFrame, bits: DataFrame) -> DataFrame:
-    """``df`` with _hit = 1 in rows whose doc_id may be in the set; 0 says that it is not."""
-    met = df.join(bits, F.expr(f"{_PLACE} div 64 = _word"), "left")
-    return met.withColumn("_hit", F.expr(f"coalesce(getbit(_bits, CAST({_PLACE} % 64 AS INT)), 0)")).drop("_word", "_bits")
+    """``df`` with _millrace_hit = 1 in rows whose doc_id may be in the set; 0 says that it is not."""
+    met = df.join(bits, F.expr(f"{_PLACE} div 64 = _millrace_word"), "left")
+    return met.withColumn("_millrace_hit", F.expr(f"coalesce(getbit(_millrace_bits, CAST({_PLACE} % 64 AS INT)), 0)")).drop("_millrace_word", "_millrace_bits")
 
 
-def near_documents(documents: DataFrame, pivots: int = 2) -> DataFrame:
+def near_documents(documents: DataFrame, pivots: int = 1) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document: the smallest doc_id that links lead to.
 
     1. A document's sketch is the ``K`` least hashes of its shingles. Documents with one set
@@ -135,14 +157,17 @@ def near_documents(documents: DataFrame, pivots: int = 2) -> DataFrame:
     2. Values that only one sketch holds link nothing. A document with fewer others than a
        link needs is done; of the others, a linked pair must share one of each's rarest
        (their number less what a link needs, and one). Only these make inverted lists.
-    3. In a list each document meets one pivot, drawn by a hash, so lists cost their length. A
-       document meets a different pivot in each of its lists, so a large group of copies
-       becomes one component at once. Then, in lists that still hold several components, each
-       document outside the list's largest meets all documents of other components: pairs that
-       no path links yet, and none else. No list is cut short and no pair is dropped.
-    4. Of a document's candidates, the one it shares most lists with is tried first; others
-       only while no path leads to them. A pair is estimated by the sketch of its union and
-       then confirmed on the whole sets of both texts.
+    3. In a list, by classes of size, each document meets one pivot, so lists cost their length.
+       The pivot is the document whose values are the most common: in a group of copies, what
+       they are copies of. Of its pivots, a document tries the one it meets most often first; of
+       the others, those to which no path leads then.
+    4. What lists still hold several components is gone through. How much a document can have in
+       common with any other is counted there on whole sets. Each document outside a list's
+       largest component meets those of other components, as far as both counts and sizes allow a
+       link. So documents that have just a passage in common do not meet, nor do copies that
+       each went their own way. No list is cut short and no pair that may be linked is dropped.
+    5. A pair is estimated by the sketch of its union and then confirmed on the whole sets of
+       both texts.
 
     Hashes of 64 bits stand for shingles, and 128 bits for equal sets. The driver holds counts.
     Nulls: a null, empty or blank text has no shingles and is linked with nothing. A row with a
@@ -158,55 +183,77 @@ def near_documents(documents: DataFrame, pivots: int = 2) -> DataFrame:
     once = lambda df: df.dropDuplicates(["doc_id"]) if again else df
     heads = stash(once(heads), "heads")
 
-    posts = heads.select("doc_id", "need", F.explode("low").alias("v"))
+    posts = heads.select("doc_id", "need", "n", F.explode("low").alias("v"))
     often = cut(posts.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"))
     own = Window.partitionBy("doc_id")
-    shared = posts.join(often, "v").withColumn("c", F.count("*").over(own)).where("c >= need")
+    shared = posts.join(often, "v").withColumn("c", F.count("*").over(own)).where("c >= need").withColumn("mid", F.sum(F.log("df")).over(own))
     shared = shared.withColumn("r", F.row_number().over(own.orderBy("df", "v"))).where("r <= c - need + 1")
-    lists = stash(shared.select("v", "doc_id"), "lists")
+    # the most that a document has in common with any other: what others hold too of the whole set, or of the sketch and 4.5 deviations (of draws without return)
+    spread = F.sqrt(F.col("c") * (K - F.col("c")) / K * (F.col("n") - K) / (F.col("n") - 1))
+    most = F.when(F.col("n") <= K, F.col("c")).otherwise(F.least("n", F.ceil(F.col("n") * (F.col("c") + 4.5 * spread + 1) / K)))
+    size = F.floor(F.log(F.col("n")) / math.log(CLASS)).cast("int")
+    lists = stash(shared.select("v", "doc_id", "n", "mid", most.alias("u"), size.alias("size")).where("7 * u >= 3 * (n + ceil(0.75 * n))"), "lists")
 
     # candidates by a bitmap of fixed size; where it fills up, it only saves less
     bits = bitmap(lists.select("doc_id"))
-    asked = lambda df: marked(df, bits).where("_hit = 1").drop("_hit")
+    asked = lambda df: marked(df, bits).where("_millrace_hit = 1").drop("_millrace_hit")
     sketches = stash(asked(heads).select("doc_id", "n", "low"), "asked-sketches")
     texts = stash(once(asked(rows)), "asked-texts")
 
-    links, parts = None, None
+    parts = None
 
     def label(df: DataFrame, side: str) -> DataFrame:
         if parts is None:
             return df.withColumn(f"part_{side}", F.col(side))
         return df.join(parts.select(F.col("node").alias(side), F.col("component").alias(f"part_{side}")), side, "left").withColumn(f"part_{side}", F.coalesce(f"part_{side}", side))
 
-    def settle(candidates: DataFrame) -> None:
-        """Try candidates (a, b, w), for each a the best first, until every one is linked by some path or refused."""
-        nonlocal links, parts
-        left = candidates
-        while True:
-            open_ = cut(label(label(left, "a"), "b").where("part_a <> part_b").select("a", "b", "w"))
-            if open_.isEmpty():
-                return
-            ranked = open_.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("w"), "b")))
-            found = cut(_test(ranked.where("r = 1").select("a", "b"), sketches, texts))
-            left = ranked.where("r > 1").select("a", "b", "w")
-            if not found.isEmpty():
-                links = found if links is None else links.unionByName(found)
-                fresh = links if parts is None else parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
-                parts = components(fresh.select(F.col("a").alias("u"), F.col("b").alias("v")))
-
-    for turn in range(pivots):
-        by = F.xxhash64("v", "doc_id", F.lit(turn))
-        pivot = cut(lists.groupBy("v").agg(F.min_by("doc_id", by).alias("b"), F.count("*").alias("m")).where("m > 1").drop("m"))
-        met = lists.join(pivot, "v").where("doc_id <> b").groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("w"))
-        settle(met)
-    # what is left: lists with several components
-    member = cut(label(lists.withColumnRenamed("doc_id", "a"), "a"))
-    sizes = member.groupBy("v", "part_a").agg(F.count("*").alias("m")).groupBy("v").agg(F.max_by("part_a", F.struct("m", "part_a")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("v", "main")
-    mixed = cut(member.join(cut(sizes), "v"))
-    minor = mixed.where("part_a <> main").select("v", "a", "part_a")
-    other = mixed.select("v", F.col("a").alias("b"), F.col("part_a").alias("part_b"), F.col("main"))
-    pairs = minor.join(other, "v").where("part_a <> part_b AND (part_b = main OR a < b)")
-    settle(pairs.groupBy("a", "b").agg(F.count("*").alias("w")))
+    def settle(pairs: DataFrame) -> None:
+        nonlocal parts
+        found = cut(_test(pairs, sketches, texts))
+        if not found.isEmpty():
+            fresh = found if parts is None else parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
+            parts = components(fresh.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+    may = "7 * least(u, u_b) >= 3 * (n + n_b) AND 4 * least(n, n_b) >= 3 * greatest(n, n_b)"  # whether two sizes allow a link
+    if pivots:
+        # the most central document of a list: its values are the most common
+        pivot = lists.groupBy("v", "size").agg(F.max_by(F.struct(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("u").alias("u_b")), F.struct("mid", "doc_id")).alias("p"), F.count("*").alias("m"))
+        pivot = cut(pivot.where("m > 1").select("v", "size", "p.*"))
+        met = lists.join(pivot, ["v", "size"]).where(f"doc_id <> b AND {may}").groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("w"))
+        ranked = cut(met.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("w"), "b"))))
+        settle(ranked.where("r = 1").select("a", "b"))
+        settle(label(label(ranked.where("r > 1"), "a"), "b").where("part_a <> part_b").select("a", "b"))
+    # what is left: lists with several components. Of their documents, the most in common with any other is counted on whole sets.
+    member = cut(label(lists.select("v", F.col("doc_id").alias("a"), "n"), "a"))
+    open_ = member.groupBy("v").agg(F.min("part_a").alias("x"), F.max("part_a").alias("y")).where("x < y").select("v")
+    member = cut(member.join(cut(open_), "v"))
+    left = cut(member.select(F.col("a").alias("doc_id")).distinct())
+    whole = texts.join(left, "doc_id").mapInArrow(_spell, "a long, s long")
+    common = whole.join(cut(whole.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")), "s")
+    mine = Window.partitionBy("a")
+    common = common.withColumn("u", F.count("*").over(mine)).withColumn("mid", F.sum(F.log("df")).over(mine)).withColumn("r", F.row_number().over(mine.orderBy("df", "s")))
+    common = common.join(cut(member.select("a", "n", "part_a").distinct()), "a").where("7 * u >= 3 * (n + ceil(0.75 * n))").withColumnRenamed("s", "v")
+    # of a pair, the larger document looks in the size classes of what it may be linked with; each brings the rarest of its
+    # values, as many as must hold one that both have: the smaller shares 6/7 of its set at least, the larger what the class asks for
+    class_of = lambda n: F.floor(F.log(n) / math.log(CLASS)).cast("int")
+    low, high = F.ceil(0.75 * F.col("n")), F.least(F.col("n"), F.floor(F.col("u") * 7 / 3 - F.col("n")))
+    least = F.greatest(low, F.floor(F.pow(F.lit(CLASS), F.col("size"))))
+    looks = common.where(high >= low).withColumn("size", F.explode(F.sequence(class_of(low), class_of(high)))).where(F.col("r") <= F.col("u") - F.ceil((F.col("n") + least) * 3 / 7) + 1).withColumn("looks", F.lit(True))
+    found = common.where("r <= u - ceil(n * 6 / 7) + 1").withColumn("size", class_of(F.col("n"))).withColumn("looks", F.lit(False))
+    every = cut(looks.unionByName(found).drop("df", "r"))
+    kinds = every.groupBy("v", "size", "part_a").agg(F.count("*").alias("m")).groupBy("v", "size").agg(F.max_by("part_a", F.struct("m", "part_a")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("v", "size", "main")
+    # what two documents share lies within a third, the list's most central, or outside it; neither part exceeds what each has there
+    every = cut(every.join(cut(kinds), ["v", "size"]))
+    hubs = cut(every.groupBy("v", "size").agg(F.max_by("a", F.struct("mid", "a")).alias("hub")))
+    every = every.join(hubs, ["v", "size"])
+    inside = cut(_pairs(every.where("a <> hub").select("a", F.col("hub").alias("b")).distinct(), texts).mapInArrow(_overlap, "a long, hub long, inside long"))
+    every = cut(every.join(inside, ["a", "hub"], "left").withColumn("inside", F.coalesce("inside", "n")).withColumn("outside", F.greatest(F.lit(0), F.col("u") - F.col("inside"))))
+    larger, minor = every.where("looks"), F.col("part_a") != F.col("main")
+    other = every.where("NOT looks").select("v", "size", F.col("a").alias("b"), F.col("n").alias("n_b"), F.col("u").alias("u_b"), F.col("inside").alias("inside_b"), F.col("outside").alias("outside_b"), F.col("part_a").alias("part_b"), (F.col("part_a") != F.col("main")).alias("minor_b"))
+    # two documents of the list's largest component have a path; each other pair has one outside it
+    where = f"part_a <> part_b AND (n_b < n OR n_b = n AND b < a) AND {may} AND 7 * (least(inside, inside_b) + least(outside, outside_b)) >= 3 * (n + n_b)"
+    pairs = larger.where(minor).join(other, ["v", "size"]).where(where).unionByName(larger.where(~minor).join(other.where("minor_b"), ["v", "size"]).where(where))
+    settle(pairs.select("a", "b").distinct())
 
     out = sketched.select("doc_id", "n", "whole").join(folds, "whole", "left").withColumn("head", F.when(F.col("n") > 0, F.coalesce("head", "doc_id")).otherwise(F.col("doc_id")))
     if parts is not None:
@@ -227,8 +274,8 @@ def drop_near_copies(documents: DataFrame) -> DataFrame:
     if gone.isEmpty():
         return documents
     met = marked(documents, bitmap(gone))
-    maybe = met.where("_hit = 1").drop("_hit").join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
-    return met.where("_hit = 0").drop("_hit").unionByName(maybe)
+    maybe = met.where("_millrace_hit = 1").drop("_millrace_hit").join(gone.withColumnRenamed("doc_id", "_millrace_gone"), F.col("doc_id") == F.col("_millrace_gone"), "left_anti")
+    return met.where("_millrace_hit = 0").drop("_millrace_hit").unionByName(maybe)
 
 
 def op8_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:

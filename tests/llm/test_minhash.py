@@ -84,7 +84,7 @@ def test_removal_keeps_one_of_each_group(docs):
     assert drop_near_copies(docs([(1, "a"), (None, "b")])).count() == 2
 
 
-@pytest.mark.parametrize("n, least", [(1, 1), (4, 3), (48, 36), (49, 24), (64, 32), (5000, 32)])
+@pytest.mark.parametrize("n, least", [(1, 1), (4, 3), (96, 72), (97, 54), (128, 72), (5000, 72)])
 def test_needed(n, least):
     assert minhash.needed(n) == least
 
