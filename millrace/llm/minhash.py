@@ -177,14 +177,14 @@ def near_documents(documents: DataFrame, pivots: int = 1) -> DataFrame:
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = stash(rows.mapInArrow(_sketches, "doc_id long, n long, whole binary, low array<long>, need int"), "sketches")
     able = sketched.where("n > 0 AND doc_id IS NOT NULL")
-    folds = cut(able.groupBy("whole").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies")).where("copies > 1").select("whole", "head"))
+    folds = stash(able.groupBy("whole").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies")).where("copies > 1").select("whole", "head"), "near")
     heads = able.join(folds.withColumnRenamed("head", "fold"), "whole", "left").where("fold IS NULL OR fold = doc_id").select("doc_id", "n", "low", "need")
     again = not able.groupBy("doc_id").count().where("count > 1").isEmpty()  # ids that repeat need more work
     once = lambda df: df.dropDuplicates(["doc_id"]) if again else df
     heads = stash(once(heads), "heads")
 
     posts = heads.select("doc_id", "need", "n", F.explode("low").alias("v"))
-    often = cut(posts.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"))
+    often = stash(posts.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "near")
     own = Window.partitionBy("doc_id")
     shared = posts.join(often, "v").withColumn("c", F.count("*").over(own)).where("c >= need").withColumn("mid", F.sum(F.log("df")).over(own))
     shared = shared.withColumn("r", F.row_number().over(own.orderBy("df", "v"))).where("r <= c - need + 1")
@@ -209,7 +209,7 @@ def near_documents(documents: DataFrame, pivots: int = 1) -> DataFrame:
 
     def settle(pairs: DataFrame) -> None:
         nonlocal parts
-        found = cut(_test(pairs, sketches, texts))
+        found = stash(_test(pairs, sketches, texts), "near")
         if not found.isEmpty():
             fresh = found if parts is None else parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
             parts = components(fresh.select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -218,21 +218,21 @@ def near_documents(documents: DataFrame, pivots: int = 1) -> DataFrame:
     if pivots:
         # the most central document of a list: its values are the most common
         pivot = lists.groupBy("v", "size").agg(F.max_by(F.struct(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("u").alias("u_b")), F.struct("mid", "doc_id")).alias("p"), F.count("*").alias("m"))
-        pivot = cut(pivot.where("m > 1").select("v", "size", "p.*"))
+        pivot = stash(pivot.where("m > 1").select("v", "size", "p.*"), "near")
         met = lists.join(pivot, ["v", "size"]).where(f"doc_id <> b AND {may}").groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("w"))
-        ranked = cut(met.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("w"), "b"))))
+        ranked = stash(met.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("w"), "b"))), "near")
         settle(ranked.where("r = 1").select("a", "b"))
         settle(label(label(ranked.where("r > 1"), "a"), "b").where("part_a <> part_b").select("a", "b"))
     # what is left: lists with several components. Of their documents, the most in common with any other is counted on whole sets.
-    member = cut(label(lists.select("v", F.col("doc_id").alias("a"), "n"), "a"))
+    member = stash(label(lists.select("v", F.col("doc_id").alias("a"), "n"), "a"), "near")
     open_ = member.groupBy("v").agg(F.min("part_a").alias("x"), F.max("part_a").alias("y")).where("x < y").select("v")
-    member = cut(member.join(cut(open_), "v"))
-    left = cut(member.select(F.col("a").alias("doc_id")).distinct())
+    member = stash(member.join(stash(open_, "near"), "v"), "near")
+    left = stash(member.select(F.col("a").alias("doc_id")).distinct(), "near")
     whole = texts.join(left, "doc_id").mapInArrow(_spell, "a long, s long")
-    common = whole.join(cut(whole.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")), "s")
+    common = whole.join(stash(whole.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "near"), "s")
     mine = Window.partitionBy("a")
     common = common.withColumn("u", F.count("*").over(mine)).withColumn("mid", F.sum(F.log("df")).over(mine)).withColumn("r", F.row_number().over(mine.orderBy("df", "s")))
-    common = common.join(cut(member.select("a", "n", "part_a").distinct()), "a").where("7 * u >= 3 * (n + ceil(0.75 * n))").withColumnRenamed("s", "v")
+    common = common.join(stash(member.select("a", "n", "part_a").distinct(), "near"), "a").where("7 * u >= 3 * (n + ceil(0.75 * n))").withColumnRenamed("s", "v")
     # of a pair, the larger document looks in the size classes of what it may be linked with; each brings the rarest of its
     # values, as many as must hold one that both have: the smaller shares 6/7 of its set at least, the larger what the class asks for
     class_of = lambda n: F.floor(F.log(n) / math.log(CLASS)).cast("int")
@@ -240,14 +240,14 @@ def near_documents(documents: DataFrame, pivots: int = 1) -> DataFrame:
     least = F.greatest(low, F.floor(F.pow(F.lit(CLASS), F.col("size"))))
     looks = common.where(high >= low).withColumn("size", F.explode(F.sequence(class_of(low), class_of(high)))).where(F.col("r") <= F.col("u") - F.ceil((F.col("n") + least) * 3 / 7) + 1).withColumn("looks", F.lit(True))
     found = common.where("r <= u - ceil(n * 6 / 7) + 1").withColumn("size", class_of(F.col("n"))).withColumn("looks", F.lit(False))
-    every = cut(looks.unionByName(found).drop("df", "r"))
+    every = stash(looks.unionByName(found).drop("df", "r"), "near")
     kinds = every.groupBy("v", "size", "part_a").agg(F.count("*").alias("m")).groupBy("v", "size").agg(F.max_by("part_a", F.struct("m", "part_a")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("v", "size", "main")
     # what two documents share lies within a third, the list's most central, or outside it; neither part exceeds what each has there
-    every = cut(every.join(cut(kinds), ["v", "size"]))
-    hubs = cut(every.groupBy("v", "size").agg(F.max_by("a", F.struct("mid", "a")).alias("hub")))
+    every = stash(every.join(stash(kinds, "near"), ["v", "size"]), "near")
+    hubs = stash(every.groupBy("v", "size").agg(F.max_by("a", F.struct("mid", "a")).alias("hub")), "near")
     every = every.join(hubs, ["v", "size"])
-    inside = cut(_pairs(every.where("a <> hub").select("a", F.col("hub").alias("b")).distinct(), texts).mapInArrow(_overlap, "a long, hub long, inside long"))
-    every = cut(every.join(inside, ["a", "hub"], "left").withColumn("inside", F.coalesce("inside", "n")).withColumn("outside", F.greatest(F.lit(0), F.col("u") - F.col("inside"))))
+    inside = stash(_pairs(every.where("a <> hub").select("a", F.col("hub").alias("b")).distinct(), texts).mapInArrow(_overlap, "a long, hub long, inside long"), "near")
+    every = stash(every.join(inside, ["a", "hub"], "left").withColumn("inside", F.coalesce("inside", "n")).withColumn("outside", F.greatest(F.lit(0), F.col("u") - F.col("inside"))), "near")
     larger, minor = every.where("looks"), F.col("part_a") != F.col("main")
     other = every.where("NOT looks").select("v", "size", F.col("a").alias("b"), F.col("n").alias("n_b"), F.col("u").alias("u_b"), F.col("inside").alias("inside_b"), F.col("outside").alias("outside_b"), F.col("part_a").alias("part_b"), (F.col("part_a") != F.col("main")).alias("minor_b"))
     # two documents of the list's largest component have a path; each other pair has one outside it
