@@ -21,7 +21,7 @@ from .common import stash, table
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Where a space next to other white space could join a cut that does not start at it.
 UNSURE = re.compile(r"\s \s|\s \Z")
-CACHED = 300_000
+CACHED = 200_000
 
 
 class Encoder:
@@ -178,7 +178,7 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = 1024, end: int =
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, task, count = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, "i8")
-        for b in batches:
+        for b in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             rows = list(_pieces(b.column("text").to_pylist(), b.column("doc_id").to_pylist(), encode, end, capacity))
             if not rows:
                 continue

@@ -24,7 +24,7 @@ class _Buckets(dict):
 
     def __missing__(self, word: str) -> int:
         n = zlib.crc32(word.lower().encode()) % WORDS
-        if len(self) < 300_000:
+        if len(self) < 150_000:
             self[word] = n
         return n
 
@@ -84,7 +84,7 @@ def fit(x: np.ndarray, y: np.ndarray, factors: int = 8, epochs: int = 12, batch:
     share = y.mean() if len(y) else 0.5
     bias = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
     m = Machine(bias, np.zeros(wide), np.zeros((wide, factors)), part.mean(0), part.std(0) + 1e-6)
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         return m
     m.v = rng.normal(0, 0.02, (wide, factors))
     x = m.scaled(x)
@@ -122,7 +122,7 @@ def learn(documents: DataFrame, labels: DataFrame, most: int = 6000) -> Machine:
                 yield pa.RecordBatch.from_arrays([b.column("label_id"), b.column("label_quality"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "quality", "x"])
 
     # the right side has at most ``most`` rows of two numbers
-    told = documents.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("label_id", "label_quality", "text")
+    told = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("label_id", "label_quality", "text")
     got = sorted((r.doc_id, r.quality, bytes(r.x)) for r in told.mapInArrow(rows, "doc_id long, quality int, x binary").collect())
     x = np.frombuffer(b"".join(g[2] for g in got), "<f4").reshape(-1, WORDS + len(STATS)).astype("f8")
     return fit(x, np.array([g[1] for g in got], "f8"))
@@ -137,8 +137,8 @@ def score(documents: DataFrame, machine: Machine, column: str = "score") -> Data
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(held.value.score(features(part.column(names.index("text")).to_pylist())))], [*names, column])
 
     return plain.mapInArrow(rows, fields)
