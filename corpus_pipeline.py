@@ -15,7 +15,7 @@ from millrace.llm.quality import learn, score
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores 0.5 or more; it learns from labels outside the held-out third."""
     machine = learn(docs, table(spark, sf_dir, "labels"))
-    return score(docs, machine, "_score").where(F.col("_score") >= 0.5).select(*docs.columns)
+    return score(docs, machine, "_millrace_score").where(F.col("_millrace_score") >= 0.5).select(*docs.columns)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
