@@ -160,7 +160,8 @@ def near_documents(documents: DataFrame, pivots: int = 1) -> DataFrame:
     3. In a list, by classes of size, each document meets one pivot, so lists cost their length.
        The pivot is the document whose values are the most common: in a group of copies, what
        they are copies of. Of its pivots, a document tries the one it meets most often first; of
-       the others, those to which no path leads then.
+       the others, those to which no path leads then. Pivots that seem to have too little in
+       common with it, by a guess from sketches, are left to step 4.
     4. What lists still hold several components is gone through. How much a document can have in
        common with any other is counted there on whole sets. Each document outside a list's
        largest component meets those of other components, as far as both counts and sizes allow a
@@ -188,11 +189,12 @@ def near_documents(documents: DataFrame, pivots: int = 1) -> DataFrame:
     own = Window.partitionBy("doc_id")
     shared = posts.join(often, "v").withColumn("c", F.count("*").over(own)).where("c >= need").withColumn("mid", F.sum(F.log("df")).over(own))
     shared = shared.withColumn("r", F.row_number().over(own.orderBy("df", "v"))).where("r <= c - need + 1")
-    # the most that a document has in common with any other: what others hold too of the whole set, or of the sketch and 4.5 deviations (of draws without return)
+    # a guess at the most that a document has in common with any other: what others' sketches hold too of the whole set, or of the sketch and 4.5 deviations
+    # (of draws without return). No bound where a partner's set may exceed its sketch, n > 96; it only tells which pivots are tried before step 4
     spread = F.sqrt(F.col("c") * (K - F.col("c")) / K * (F.col("n") - K) / (F.col("n") - 1))
     most = F.when(F.col("n") <= K, F.col("c")).otherwise(F.least("n", F.ceil(F.col("n") * (F.col("c") + 4.5 * spread + 1) / K)))
     size = F.floor(F.log(F.col("n")) / math.log(CLASS)).cast("int")
-    lists = stash(shared.select("v", "doc_id", "n", "mid", most.alias("u"), size.alias("size")).where("7 * u >= 3 * (n + ceil(0.75 * n))"), "lists")
+    lists = stash(shared.select("v", "doc_id", "n", "mid", most.alias("u"), size.alias("size")), "lists")
 
     # candidates by a bitmap of fixed size; where it fills up, it only saves less
     bits = bitmap(lists.select("doc_id"))

@@ -68,6 +68,17 @@ def test_lists_are_worked_off_without_lucky_pivots(docs, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == plain(rows)
 
 
+def test_copies_inside_texts_beyond_the_sketch(docs):
+    """A sketch of 128 holds the smaller set whole, or nearly, and misses a quarter of the larger one."""
+    rows = []
+    for k, n in enumerate([*range(118, 150, 4), *range(124, 132)] + [127, 128] * 8):
+        t = [f"k{k}w{i}" for i in range(4 * n // 3 + 4)]
+        rows += [(2 * k, " ".join(t)), (2 * k + 1, " ".join(t[: n + 4]))]
+    want = plain(rows)
+    assert not any(want[i][2] for i, _ in rows if i % 2)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_documents(docs(rows)).collect()} == want
+
+
 def test_odd_rows(docs):
     assert near_documents(docs([])).count() == 0
     text = "a b c d e f g h"
