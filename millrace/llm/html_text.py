@@ -21,6 +21,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What these elements hold is no text of the page.
 SILENT = frozenset("audio canvas iframe math noembed noframes noscript object script style svg template textarea video".split())
+#: Where they end. The page itself is searched: lower-casing it would move what follows each U+0130.
+SILENT_END = {tag: re.compile(f"</{tag}", re.IGNORECASE | re.ASCII) for tag in SILENT}
 #: What these hold is never main text; a header may be, inside an article.
 OUTSIDE = frozenset("aside button dialog footer form head menu nav optgroup option search select title".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -97,7 +99,6 @@ def blocks(page: str) -> list[Block]:
     stack: list[Element] = []
     out: list[Block] = []
     now, at, count, links, breaks = Block(()), 0, 0, 0, 0
-    lower = page.lower()
 
     def end() -> None:
         nonlocal now
@@ -157,8 +158,8 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in SILENT:
             if not m[3].endswith("/"):
-                stop = lower.find(f"</{tag}", at)
-                close = page.find(">", stop) if stop >= 0 else -1
+                stop = SILENT_END[tag].search(page, at)
+                close = page.find(">", stop.start()) if stop else -1
                 at = len(page) if close < 0 else close + 1
             continue
         if tag == "br":

@@ -50,6 +50,14 @@ def test_short_blocks_take_after_the_nearest():
     assert main_text(f"<body>{links}<p>Near links.</p>{links}<p>{LONG}</p><p>Near text.</p><p>{OTHER}</p></body>").split("\n\n") == [LONG, "Near text.", OTHER]
 
 
+def test_letters_that_grow_in_lower_case():
+    for tag, end in (("script", "script"), ("style", "STYLE"), ("svg", "Svg"), ("iframe", "iframe")):
+        page = f"<p>{'\u0130' * 20} {LONG}</p><{tag}>x</{end}><p>{LONG}</p><p>{OTHER}</p>"
+        assert [b.text for b in blocks(page)] == [f"{'\u0130' * 20} {LONG}", LONG, OTHER]
+        assert [b.text for b in blocks(f"{'\u0130' * 20}<{tag}>x</{end}>rest")] == ["\u0130" * 20 + "rest"]
+    assert [b.text for b in blocks("<script>x</\u017fcript></SCRIPT>y")] == ["y"]
+
+
 def test_broken_pages():
     for page in ("<", "<p", "a < b and 1 <2", "<p>x", "</p>x</div>", "<!-- x", "<script>x", f"<article><p>{LONG}", "&#x110000; &#0; &bogus; &amp", "<p title='a>b\">x</p>" * 3, "<a href=\"" + "x" * 50_000, "<" * 50_000, "<p>" * 5_000 + "deep", "<div>" * 3_000 + "deep"):
         assert isinstance(main_text(page), str)
