@@ -30,7 +30,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence of at most 1024 tokens."""
-    return pack(docs, default_tokenizer(), capacity=1024, end=2)
+    return pack(docs, default_tokenizer(), capacity=1024, end=2, added=True)
 
 
 STAGES = [

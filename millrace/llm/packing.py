@@ -30,13 +30,20 @@ class Encoder:
     A cut may start at any space and none spans one, so a text's ids are those of its parts
     between spaces; parts recur and are kept, about ``CACHED`` of them at most. New parts are
     encoded in one go; an id that begins with a space begins a part. Texts with runs of
-    white space, where that need not hold, are encoded whole. Special tokens in a text are
-    ordinary text.
+    white space, where that need not hold, are encoded whole. With ``added``, texts are cut at
+    the file's added tokens first, which get their own ids, as ``tokenizers`` does unless told
+    to encode special tokens; without, these are ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocabulary = file["model"]["vocab"]
+        tokens = file.get("added_tokens") or [] if added else []
+        if any(t.get(k) for t in tokens for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that depend on what is beside them are not supported")
+        self.added = {t["content"]: t["id"].to_bytes(4, "little") for t in tokens}
+        self.marks = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True))) if tokens else None
         letters = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
         byte = {chr(b): b for b in letters} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(letters))}
         ranks = {bytes(byte[c] for c in token): i for token, i in vocabulary.items() if not re.fullmatch(r"<\|.*\|>", token)}
@@ -49,6 +56,14 @@ class Encoder:
     def raw(self, text: str) -> bytes:
         return np.array(self.encode(text), "<u4").tobytes()
 
+    def cut(self, text: str) -> bytes:
+        """The ids of a text that holds added tokens."""
+        out, at = [], 0
+        for m in self.marks.finditer(text):
+            out += [self.raw(text[at : m.start()]), self.added[m[0]]]
+            at = m.end()
+        return b"".join([*out, self.raw(text[at:])])
+
     def learn(self, parts: set[str]) -> None:
         even = []
         for p in parts:
@@ -70,15 +85,17 @@ class Encoder:
         self.learn(used.difference(self.seen))
         seen, edgy = self.seen, self.edgy & used
         for text, (first, *parts) in zip(texts, split, strict=True):
-            if (edgy and not edgy.isdisjoint(parts) or first[-1:].isspace()) and UNSURE.search(text):
+            if self.marks and self.marks.search(text):
+                yield self.cut(text)
+            elif (edgy and not edgy.isdisjoint(parts) or first[-1:].isspace()) and UNSURE.search(text):
                 yield self.raw(text)
             else:
                 yield self.raw(first) + b"".join([seen[p] for p in parts])
 
 
 @cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, added: bool = False) -> Encoder:
+    return Encoder(path, added)
 
 
 class Tree:
@@ -160,10 +177,10 @@ def _pieces(texts: list[str | None], doc_ids: list, encode, end: int, capacity:
             at = stop
 
 
-def pack(documents: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 2) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 2, added: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document.
 
-    A document is its text's ids and ``end``; longer ones than ``capacity`` are cut so that
+    A document is its text's ids, with those of added tokens in it if ``added``, and ``end``; longer ones than ``capacity`` are cut so that
     only the first piece is shorter. Tokenizing leaves a row of numbers a piece, with its rank
     among its task's pieces of that length. The pieces of each length are counted, at most
     ``capacity`` numbers in all, best fit decreasing is solved on these counts, and each
@@ -177,7 +194,7 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = 1024, end: int =
     spark = documents.sparkSession
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, count = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, "i8")
+        encode, task, count = encoder(tokenizer, added), TaskContext.get().partitionId(), np.zeros(capacity + 1, "i8")
         for b in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             rows = list(_pieces(b.column("text").to_pylist(), b.column("doc_id").to_pylist(), encode, end, capacity))
             if not rows:
@@ -217,4 +234,4 @@ def default_tokenizer() -> str:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), default_tokenizer(), capacity=1024, end=2)
+    return pack(table(spark, sf_dir, "documents"), default_tokenizer(), capacity=1024, end=2, added=True)

@@ -66,6 +66,16 @@ def test_ids_of_any_text(plain_ids):
     assert list(Encoder(default_tokenizer())(texts)) == plain_ids(texts)
 
 
+def test_query_gives_added_tokens_their_ids(spark, docs, tmp_path):
+    t = tokenizers.Tokenizer.from_file(default_tokenizer())
+    ids = lambda texts: [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+    texts = ["hello <|endoftext|> x", "<|endoftext|>", "<|endoftext|><|endoftext|>", "a  <|endoftext|>\n\n b", "<|endoftext|", "x <|ENDOFTEXT|> y", "a<|endoftext|>b c", "<<|endoftext|>>"]
+    assert ids(texts[:1]) == [np.array([31373, 220, 50256, 2124], "<u4").tobytes()]
+    rows = list(enumerate(texts))
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    check(op5_best_fit_packing(spark, str(tmp_path)).collect(), rows, ids)
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_runs_pack_as_one_by_one(seed):
     rng = random.Random(seed)
