@@ -7,6 +7,7 @@ import contextlib
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +77,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def remainder(column: str, n: int):
     """crc32 of an id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """A hash of unsigned 64-bit numbers whose order is as good as random (the finaliser of SplitMix64)."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))

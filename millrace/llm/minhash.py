@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, stash, table
+from .common import cut, mixed, stash, table
 from .components import components
 
 WORDS = 5
@@ -25,13 +25,6 @@ _ONE = np.uint64(0x9E3779B97F4A7C15)
 _SEEN: dict[bytes, int] = {}
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    """A hash of hashes whose order is as good as random (the finaliser of SplitMix64)."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def shingles(text: str | None) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's 5-word shingles; fewer words make one shingle, none make none.
 
@@ -54,7 +47,7 @@ def shingles(text: str | None) -> np.ndarray:
     h = np.full(len(ids) - n + 1, n, "u8")
     for j in range(n):
         h = h * _ONE + ids[j : len(ids) - n + 1 + j]
-    return np.unique(_mixed(h))
+    return np.unique(mixed(h))
 
 
 def needed(n: int) -> int:

@@ -98,15 +98,46 @@ def test_odd_rows(docs):
 
 
 def test_blocks_come_back():
-    arrays = {"a": np.arange(9, dtype="u8") << 40, "p": np.array([0.5] * 7 + [0.25]), "q": np.random.default_rng(0).normal(size=50), "none": np.empty(0, "f8")}
-    back = load(dump(**arrays))
-    assert back.keys() == arrays.keys() and all((back[k] == arrays[k]).all() and back[k].dtype == arrays[k].dtype for k in arrays)
+    arrays = [np.arange(9, dtype="u8") << np.uint64(40), np.array([0.5] * 7 + [0.25]), np.random.default_rng(0).normal(size=50), np.empty(0, "f8"), np.array([0, 1, 255]), np.array([True, False])]
+    back = load(dump(*arrays))
+    assert len(back) == len(arrays) and all(len(a) == len(b) and (a == b).all() for a, b in zip(arrays, back, strict=True))
 
 
-def test_common_contexts_are_spread(docs, monkeypatch):
-    monkeypatch.setattr(module, "Plan", lambda buckets, spread, levels: plan_type(5, 3, levels))
-    rows = [(i, "the a the b the c " * 3 + f"w{i % 4}") for i in range(40)]
+@pytest.mark.parametrize("fan, depth", [(5, 1), (2, 3), (3, 2), (1, 1)])
+def test_common_contexts_are_spread(docs, monkeypatch, fan, depth):
+    monkeypatch.setattr(module, "Plan", lambda _f, _d, batches, _s, levels: plan_type(fan, depth, batches, 3, levels))
+    monkeypatch.setattr(module, "BATCH", 60)
+    rows = [(i, "the a the b the c " * 3 + f"w{i % 4} x{i}") for i in range(40)]
     check(katz(docs(rows), 3).collect(), Plain(rows, 3).rows())
 
 
+@pytest.mark.parametrize("most_fan", [2, 4, 100])
+def test_network_of_any_depth(spark, sf, most_fan):
+    """Blocks go through nodes; with groups of batches above and ranges of buckets below, all counts stay whole."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(sf("sf0.001") + "/documents.parquet").select("doc_id", "text").collect()]
+    model = Plain(rows, 2)
+    check(katz(spark.read.parquet(sf("sf0.001") + "/documents.parquet").repartition(7), 2, 6000, most_fan).collect(), model.rows())
+
+
+def test_blocks_grow_with_the_input():
+    """Blocks sent a level: at most batches x FAN x steps, and not batches x buckets."""
+
+    def blocks(buckets, batches):
+        depth = 1
+        while module.FAN**depth < buckets:
+            depth += 1
+        fan = math.ceil(buckets ** (1 / depth) - 1e-9)
+        plan = plan_type(fan, depth, batches, 1, [])
+        nodes, sent = {plan.home(b) + j for b in range(batches) for j in range(fan)}, batches * fan
+        for step in range(1, depth):
+            sent += len(nodes) * fan
+            nodes = {plan.above(n, step)[0] + j for n in nodes for j in range(fan)}
+        assert nodes == set(range(plan.buckets))
+        assert sent <= 1.1 * batches * module.FAN * depth
+        return sent
+
+    assert blocks(67, 112) == 67 * 112
+    assert blocks(40_000, 50_000) < 10 * blocks(4000, 5000)
+
+
 plan_type = module.Plan
