@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stash, table
-from .vectors import matrix, pack, pivots, tiles, unpack, usable
+from .vectors import matrix, pack, pivots, sample, tiles, unpack, usable
+
+SAMPLE = 1024  # vectors among which pivots are chosen
 
 
 def _needed(spots: np.ndarray, data: dict, asks: dict, k: int) -> list[tuple[int, int]]:
@@ -56,7 +58,7 @@ def _best(q_ids, q, x_ids, x, k: int, exact: bool):
 
 def knn_join(
     vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding",
-    cell_rows: int = 4096, most_cells: int = 256, query_rows: int = 1024, block_rows: int = 8192,
+    cell_rows: int = 16384, most_cells: int = 256, query_rows: int = 1024, block_rows: int = 16384,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every``, its k best of all other rows.
 
@@ -71,15 +73,20 @@ def knn_join(
     an id, take no part. A repeated id counts once, with its least vector. Vectors of
     unequal length compare as if the shorter ended in zeros; empty ones score 0. Ties go to
     the smaller id. Fewer than k other rows: all of them. An empty table gives no rows.
+    Scores are exact up to 64 bits; if the largest component says that one might not fit,
+    ArithmeticError is raised before any is computed.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col, nonzero=False)
-    rows = stash(rows.select("vec_id", F.transform("x", lambda v: F.floor(v * scale).cast("double")).alias("x")), "knn-rows")
+    whole = lambda v: F.when(F.abs(v) < 2**52, F.floor(v).cast("double")).otherwise(v)  # noqa: E731  larger doubles are whole numbers
+    rows = stash(rows.select("vec_id", F.transform("x", lambda v: whole(v * scale)).alias("x")), "knn-rows")
     n, width, top = rows.agg(F.count("*"), F.max(F.size("x")), F.max(F.array_max(F.transform("x", F.abs)))).first()
     width, top = max(1, width or 0), top or 0
+    if width * top * top >= 2**63:
+        raise ArithmeticError(f"{width} components of up to {top:g} may give scores that no 64-bit number holds")
     exact = width * top * top < 2**53  # then doubles hold every sum, and products of matrices are exact
     kind = "<i2" if top < 2**15 else "<i4" if top < 2**31 else "<i8"
-    spots = pivots(rows, max(1, min(most_cells, math.ceil(n / cell_rows))), width) if n else np.zeros((1, width))
+    spots = pivots(sample(rows, SAMPLE, width), max(1, min(most_cells, math.ceil(n / cell_rows)))) if n else np.zeros((1, width))
 
     def settle(batches):
         square = (spots**2).sum(1)

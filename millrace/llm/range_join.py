@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from .common import cut, stash, table
 from .components import components
-from .vectors import matrix, pack, pivots, tiles, unpack, usable
+from .vectors import matrix, pack, pivots, sample, tiles, unpack, usable
 
 TILE = 1024
+SAMPLE = 1024  # vectors among which pivots are chosen and whose axes tell most pairs apart
+AXES = 24
 
 
 def _angles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -25,26 +27,57 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def _linked(a: np.ndarray, b: np.ndarray, least: float, same: bool) -> list[tuple[slice, slice, np.ndarray]]:
-    """Which rows of a and b have that cosine, tile by tile, as packed bits; tiles without a link are left out."""
-    out = []
+def _axes(seen: np.ndarray) -> np.ndarray:
+    """The AXES directions in which these vectors differ most, as columns; none where vectors hardly have more."""
+    width = seen.shape[1]
+    return np.linalg.svd(seen, full_matrices=True)[2][:AXES].T if width >= 2 * AXES else np.empty((width, 0))
+
+
+def _short(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Unit vectors along the axes and, in a further column, how long the rest of each is."""
+    z = x @ axes
+    return np.c_[z, np.sqrt(np.maximum(0, 1 - (z * z).sum(1)))].astype("f4")
+
+
+def _linked(a: np.ndarray, b: np.ndarray, least: float, same: bool, axes: np.ndarray) -> tuple[list[tuple[slice, slice, np.ndarray]], int]:
+    """Which rows of a and b have that cosine, tile by tile, as packed bits, and how many pairs were compared in full.
+
+    A pair's cosine is at most its part along the axes and the product of what is left of
+    both (Cauchy-Schwarz). Pairs below the least cosine by that are done; the 1e-4 is far beyond
+    what single precision loses. The others, and tiles with many of them, are compared in full
+    in double precision. Of a block with itself, tiles below the diagonal are left out.
+    """
+    out, full = [], 0
+    short_a, short_b = _short(a, axes), _short(b, axes)
     for i in tiles(len(a), TILE):
         for j in tiles(len(b), TILE):
-            hit = a[i] @ b[j].T >= least
+            if same and j.start < i.start:
+                continue
+            rows = None
+            if axes.shape[1]:
+                rows, cols = np.divmod(np.flatnonzero(short_a[i] @ short_b[j].T >= np.float32(least - 1e-4)), j.stop - j.start)
+            if rows is None or len(rows) > (i.stop - i.start) * (j.stop - j.start) / 8:
+                full += (i.stop - i.start) * (j.stop - j.start)
+                hit = a[i] @ b[j].T >= least
+            else:
+                full += len(rows)
+                hit = np.zeros((i.stop - i.start, j.stop - j.start), bool)
+                if len(rows):
+                    hit[rows, cols] = np.einsum("ij,ij->i", a[i][rows], b[j][cols]) >= least
             if same and i == j:
                 np.fill_diagonal(hit, False)
             if hit.any():
                 out.append((i, j, np.packbits(hit, axis=1)))
-    return out
+    return out, full
 
 
-def _block(ids_a, a, count_a, ids_b, b, count_b, least: float, same: bool):
+def _block(ids_a, a, count_a, ids_b, b, count_b, least: float, same: bool, axes: np.ndarray):
     """(id, links, root) of each row of the block pair that has a link in it; root: the smallest id linked to it within the pair.
 
-    Roots settle by passing minima along links, on at most 4096 x 4096 bits at a time:
+    Roots settle by passing minima along links, on the bits of at most 16384 x 16384 pairs:
     a block of copies yields a row for each copy and not for each pair.
     """
-    hits = _linked(a, b, least, same)
+    hits, _ = _linked(a, b, least, same, axes)
     if not hits:
         return [], [], []
     n_a, n_b = np.zeros(len(a), "i8"), np.zeros(len(b), "i8")
@@ -56,7 +89,8 @@ def _block(ids_a, a, count_a, ids_b, b, count_b, least: float, same: bool):
             hit = np.unpackbits(bits, axis=1, count=j.stop - j.start).astype(bool)
             if not turn:
                 n_a[i] += hit @ count_b[j]
-                n_b[j] += count_a[i] @ hit
+                if not (same and i == j):
+                    n_b[j] += count_a[i] @ hit
             rows, cols = hit.any(1), hit.any(0)
             some = hit[np.ix_(rows, cols)]
             root_a[i][rows] = np.minimum(root_a[i][rows], np.where(some, root_b[j][cols], no).min(1))
@@ -66,6 +100,7 @@ def _block(ids_a, a, count_a, ids_b, b, count_b, least: float, same: bool):
         if before == root_a.sum() + root_b.sum():
             break
     if same:
+        n_a += n_b
         keep = n_a > 0
         return ids_a[keep], n_a[keep], root_a[keep]
     ka, kb = n_a > 0, n_b > 0
@@ -74,7 +109,7 @@ def _block(ids_a, a, count_a, ids_b, b, count_b, least: float, same: bool):
 
 def near_vectors(
     vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding",
-    cell_rows: int = 4096, most_cells: int = 256, block_rows: int = 4096,
+    cell_rows: int = 16384, most_cells: int = 256, block_rows: int = 16384,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every id: the other vectors with at least that cosine, and the smallest id reachable.
 
@@ -86,7 +121,8 @@ def near_vectors(
     each pair meets once. Cells join on their own, in pairs of blocks of about ``block_rows``
     rows, and yield one row a vector, not a row a pair; the links of those rows then give
     components. A pair of blocks is the unit of work, so a cell with a third of all vectors
-    spreads over many tasks.
+    spreads over many tasks. Within it, the few axes along which a sample of vectors differs
+    most rule out most pairs without comparing them in full (_linked).
 
     Nulls: vectors that are null, all zero, empty or hold a null or non-finite component link
     with nothing; rows without an id are left out. A repeated id counts once, with its least
@@ -102,7 +138,8 @@ def near_vectors(
     n, width = folded.agg(F.count("*"), F.max(F.size("x"))).first()
     width = max(1, width or 0)
     heads = folded.select(F.col("head").alias("vec_id"), "n", "x")
-    spots = _unit(pivots(heads, max(1, min(most_cells, math.ceil(n / cell_rows))), width)) if n else np.zeros((1, width))
+    seen = _unit(sample(heads, SAMPLE, width)) if n else np.zeros((1, width))
+    spots, axes = pivots(seen, max(1, min(most_cells, math.ceil(n / cell_rows)))), _axes(seen)
     reach = math.acos(min(1.0, cosine)) + 1e-6
 
     def settle(batches):
@@ -125,9 +162,9 @@ def near_vectors(
             yield pa.RecordBatch.from_arrays([pa.array([int(c)] * len(spots), pa.int32()), pa.array(range(len(spots)), pa.int32()), pa.array(low[c]), pa.array(high[c])], ["cell", "pivot", "low", "high"])
 
     # most_cells squared rows at most
-    seen = placed.select("cell", "x").mapInArrow(ranges, "cell int, pivot int, low double, high double").groupBy("cell", "pivot").agg(F.min("low"), F.max("high")).collect()
+    told = placed.select("cell", "x").mapInArrow(ranges, "cell int, pivot int, low double, high double").groupBy("cell", "pivot").agg(F.min("low"), F.max("high")).collect()
     low, high = np.full((len(spots), len(spots)), math.inf), np.full((len(spots), len(spots)), -math.inf)
-    for c, p, a, z in seen:
+    for c, p, a, z in told:
         low[c, p], high[c, p] = a - reach, z + reach
 
     def replicate(batches):
@@ -164,7 +201,7 @@ def near_vectors(
         x = _unit(unpack(group.column("x").to_pylist(), width, kind).astype("f8")) if len(ids) else np.empty((0, width))
         same = not group.column("kind")[0].as_py()
         right = left if same else ~left
-        got = _block(ids[left], x[left], n[left], ids[right], x[right], n[right], cosine, same)
+        got = _block(ids[left], x[left], n[left], ids[right], x[right], n[right], cosine, same, axes)
         return pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("vec_id", "links", "root"), got, strict=True)})
 
     found = cut(sent.groupBy("cell", "i", "j", "kind").applyInArrow(solve, "vec_id long, links long, root long"))

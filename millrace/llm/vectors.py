@@ -47,12 +47,21 @@ def unpack(column, width: int, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=kind).reshape(-1, width) if len(column) else np.empty((0, width), kind)
 
 
-def pivots(rows: DataFrame, n: int, width: int) -> np.ndarray:
+def sample(rows: DataFrame, n: int, width: int) -> np.ndarray:
     """n vectors, those whose ids have the smallest hashes: a set whose size is a parameter, whatever the input's."""
     got = rows.select("x", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(n).collect()
     return matrix(pa.array([r.x for r in got], pa.list_(pa.float64())), width)
 
 
+def pivots(seen: np.ndarray, n: int) -> np.ndarray:
+    """n of the vectors, chosen by spread: the first, then always the one farthest from those chosen."""
+    far, out = np.full(len(seen), np.inf), [0]
+    while len(out) < min(n, len(seen)):
+        far = np.minimum(far, ((seen - seen[out[-1]]) ** 2).sum(1))
+        out.append(int(far.argmax()))
+    return seen[out]
+
+
 def tiles(n: int, most: int) -> Iterator[slice]:
     for i in range(0, n, most):
         yield slice(i, min(n, i + most))

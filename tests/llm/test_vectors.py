@@ -5,7 +5,7 @@ import pytest
 
 from millrace.llm.components import components
 from millrace.llm.knn_join import OP10_SQL, _needed, knn_join, op10_voronoi_knn
-from millrace.llm.range_join import OP4_SQL, near_vectors, op4_near_vectors
+from millrace.llm.range_join import OP4_SQL, _axes, _linked, near_vectors, op4_near_vectors
 
 
 @pytest.mark.parametrize("query, sql", [(op4_near_vectors, OP4_SQL), (op10_voronoi_knn, OP10_SQL)])
@@ -79,6 +79,31 @@ def test_knn_in_small_cells_and_blocks(spark):
             assert sorted(tuple(r) for r in got.collect()) == (want if scale == 64 else plain_knn(rows[:150], 7, 20, scale))
 
 
+def test_scores_beyond_64_bits_are_an_error(spark):
+    for large in (1e12, 1e18, 1e300, -1e300):
+        with pytest.raises(ArithmeticError):
+            knn_join(frame(spark, [(0, [large, 1.0]), (1, [0.5, large])]))
+    big = 30_000_000.0  # beyond what doubles add up exactly
+    rows = [(0, [big, 0.015625]), (1, [big, 0.03125]), (2, [big, 0.046875])]
+    assert sorted(map(tuple, knn_join(frame(spark, rows)).collect())) == plain_knn(rows, 20, 20, 64)
+
+
+def test_pairs_are_told_apart_along_few_axes():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 64))
+    x[700:900] = x[:200] + rng.normal(size=(200, 64)) * 0.2
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    axes = _axes(x[:300])
+    want = x @ x.T >= 0.9
+    np.fill_diagonal(want, False)
+    hits, full = _linked(x, x, 0.9, True, axes)
+    got = np.zeros_like(want)
+    for i, j, bits in hits:
+        got[i, j] = np.unpackbits(bits, axis=1, count=j.stop - j.start).astype(bool)
+    assert want.sum() > 300 and (np.triu(got) == np.triu(want)).all() and full < 0.1 * len(x) ** 2 / 2
+    assert _axes(rng.normal(size=(40, 8))).shape == (8, 0)
+
+
 def test_knn_of_few(spark):
     assert knn_join(frame(spark, [])).count() == 0
     assert knn_join(frame(spark, [(0, [1.0])])).count() == 0
