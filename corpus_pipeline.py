@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import stash, table
+from millrace.llm.common import quoted, stash, table
 from millrace.llm.minhash import drop_near_copies
 from millrace.llm.mixing import mix
 from millrace.llm.packing import default_tokenizer, pack
@@ -13,24 +13,43 @@ from millrace.llm.quality import learn, score
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores 0.5 or more; it learns from labels outside the held-out third."""
+    """Documents that the classifier scores 0.5 or more; it learns from labels outside the held-out third.
+
+    A null or empty text is scored like any other. Rows that repeat are judged alike. Without
+    labels all scores are 0.5 and all stay. An empty table gives no rows. Further columns, of
+    any name, stay as they are; so they do in the next two stages.
+    """
     machine = learn(docs, table(spark, sf_dir, "labels"))
-    return score(docs, machine, "_millrace_score").where(F.col("_millrace_score") >= 0.5).select(*docs.columns)
+    return score(docs, machine, "_millrace_score").where(F.col("_millrace_score") >= 0.5).select(*map(quoted, docs.columns))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest doc_id."""
-    return drop_near_copies(docs).select(*docs.columns)
+    """One document of each group of near copies: that with the smallest doc_id.
+
+    Documents with 0.75 or more of their 5-word shingles in common are linked, and links add up
+    to groups. Texts that are null, empty or blank are nobody's copies and stay, as do rows
+    without an id. Rows that share an id share its fate. An empty table gives no rows.
+    """
+    return drop_near_copies(docs).select(*map(quoted, docs.columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once or more, so that sources come near equal weights without any being read more than twice."""
-    return mix(docs, max_repeats=2.0).select(*docs.columns)
+    """Every document once or more, so that sources come near equal weights without any being read more than twice.
+
+    A null source is a source of its own. Null and empty texts count 0 tokens and are read with
+    their source; a source without tokens is read once. Rows with equal id and source are read
+    as often as each other. An empty table gives no rows.
+    """
+    return mix(docs, max_repeats=2.0).select(*map(quoted, docs.columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its place in a sequence of at most 1024 tokens."""
-    return pack(docs, default_tokenizer(), capacity=1024, end=2, added=True)
+    """Every piece of every document with its place in a sequence of at most 1024 tokens.
+
+    A null or empty text is the one token 2. Each row is packed, also where ids are null or
+    repeat; pieces of one length may change places. An empty table gives no rows.
+    """
+    return pack(docs, default_tokenizer(), capacity=1024, end=2)
 
 
 STAGES = [

@@ -127,7 +127,7 @@ def _test(pairs: DataFrame, sketches: DataFrame, texts: DataFrame) -> DataFrame:
     return _pairs(near, texts).mapInArrow(_confirm, "a long, b long")
 
 
-_PLACE = f"pmod(xxhash64(doc_id), {BITS})"
+_PLACE = f"pmod(xxhash64(CAST(doc_id AS BIGINT)), {BITS})"
 
 
 def bitmap(ids: DataFrame) -> DataFrame:
@@ -263,6 +263,8 @@ def drop_near_copies(documents: DataFrame) -> DataFrame:
 
     Texts whose id is in no removed id's place of a bitmap stay where they are; only the
     others, little more than those removed, are shuffled to be held against the removed ids.
+    Ids may be whole numbers of any width. Rows without an id stay, as do those without a word;
+    of rows that share an id, all stay or all go. An empty table gives no rows.
     """
     told = near_documents(documents)
     gone = cut(told.where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct())

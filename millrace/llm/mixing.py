@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import quoted, stash, table
 
 BUCKETS = 256
 
@@ -100,14 +100,14 @@ def mix(documents: DataFrame, max_repeats: float | None = None, target_entropy:
 
     plan = spark.createDataFrame([(s, w[s], whole[s], often[s], cut_at.get(s, unit) if rest[s] else 0) for s in tokens], "_millrace_key string, mix_weight double, _millrace_whole int, _millrace_often double, _millrace_end long")
     names = [c for c in documents.columns if c not in ("mix_tokens", "mix_weight", "mix_block", "mix_place")]
-    rows = documents.select(*(F.col(f"`{c}`") for c in names), source.alias("_millrace_key"), token_count(F.col("text").cast("string")).alias("mix_tokens")).join(F.broadcast(plan), "_millrace_key")
+    rows = documents.select(*(quoted(c) for c in names), source.alias("_millrace_key"), token_count(F.col("text").cast("string")).alias("mix_tokens")).join(F.broadcast(plan), "_millrace_key")
     blocks = F.sequence(F.lit(0), F.col("_millrace_whole") - F.when(shown(F.col("_millrace_whole")) < F.col("_millrace_end"), 0).otherwise(1))
     rows = rows.withColumn("mix_block", F.explode(blocks))
     # the last block's places are dealt out over what is left of its budget
     part = F.when((F.col("mix_block") == F.col("_millrace_whole")) & (F.col("_millrace_end") > 0), F.col("_millrace_end")).otherwise(unit)
     length = F.when(F.col("mix_block") == F.col("_millrace_whole"), F.col("_millrace_often") - F.col("_millrace_whole")).otherwise(1.0)
     place = (F.col("mix_block") + shown(F.col("mix_block")) / part * length) / F.col("_millrace_often")
-    return rows.withColumn("mix_place", place).select(*(F.col(f"`{c}`") for c in names), "mix_tokens", "mix_weight", "mix_block", "mix_place")
+    return rows.withColumn("mix_place", place).select(*(quoted(c) for c in names), "mix_tokens", "mix_weight", "mix_block", "mix_place")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

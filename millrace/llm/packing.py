@@ -30,15 +30,21 @@ class Encoder:
     A cut may start at any space and none spans one, so a text's ids are those of its parts
     between spaces; parts recur and are kept, about ``CACHED`` of them at most. New parts are
     encoded in one go; an id that begins with a space begins a part. Texts with runs of
-    white space, where that need not hold, are encoded whole. With ``added``, texts are cut at
-    the file's added tokens first, which get their own ids, as ``tokenizers`` does unless told
-    to encode special tokens; without, these are ordinary text.
+    white space, where that need not hold, are encoded whole. Texts are cut at the file's
+    added tokens first, which get their own ids, as ``tokenizers`` does; without ``added``, as
+    it does when told to encode special tokens, these are ordinary text. A file that asks for
+    another way to cut texts, to change them or to merge is refused.
     """
 
-    def __init__(self, path: str, added: bool = False):
+    def __init__(self, path: str, added: bool = True):
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
-        vocabulary = file["model"]["vocab"]
+        model, cut = file["model"], file.get("pre_tokenizer") or {}
+        if file.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+            raise ValueError(f"{path} does not cut texts as byte-level BPE of this kind does")
+        if model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            raise ValueError(f"{path} does not merge as byte-level BPE of this kind does")
+        vocabulary = model["vocab"]
         tokens = file.get("added_tokens") or [] if added else []
         if any(t.get(k) for t in tokens for k in ("single_word", "lstrip", "rstrip")):
             raise ValueError("added tokens that depend on what is beside them are not supported")
@@ -94,7 +100,7 @@ class Encoder:
 
 
 @cache
-def encoder(path: str, added: bool = False) -> Encoder:
+def encoder(path: str, added: bool = True) -> Encoder:
     return Encoder(path, added)
 
 
@@ -177,11 +183,11 @@ def _pieces(texts: list[str | None], doc_ids: list, encode, end: int, capacity:
             at = stop
 
 
-def pack(documents: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 2, added: bool = False) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 2, added: bool = True) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) of every piece of every document.
 
-    A document is its text's ids, with those of added tokens in it if ``added``, and ``end``; longer ones than ``capacity`` are cut so that
-    only the first piece is shorter. Tokenizing leaves a row of numbers a piece, with its rank
+    A document is its text's ids, with those of added tokens in it unless ``added`` is false, and ``end``; longer
+    ones than ``capacity`` are cut so that only the first piece is shorter. Tokenizing leaves a row of numbers a piece, with its rank
     among its task's pieces of that length. The pieces of each length are counted, at most
     ``capacity`` numbers in all, best fit decreasing is solved on these counts, and each
     piece finds its place from its length and rank: counts before its task's, plus its rank
@@ -234,4 +240,4 @@ def default_tokenizer() -> str:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), default_tokenizer(), capacity=1024, end=2, added=True)
+    return pack(table(spark, sf_dir, "documents"), default_tokenizer(), capacity=1024, end=2)

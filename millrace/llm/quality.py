@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import remainder, table
+from .common import quoted, remainder, table
 
 WORDS = 1024  # buckets for hashed words
 STATS = ("upper", "digit", "mark", "stop", "bar", "space", "high", "control", "length", "words", "word_size", "distinct", "lines", "line_repeat", "long_word", "bang")
@@ -111,9 +111,10 @@ def fit(x: np.ndarray, y: np.ndarray, factors: int = 8, epochs: int = 12, batch:
 def learn(documents: DataFrame, labels: DataFrame, most: int = 6000) -> Machine:
     """Fit on labelled documents outside the held-out third, those ``most`` whose ids have the smallest hashes.
 
-    Only features reach the driver, ``most`` rows of them.
+    Only features reach the driver, ``most`` rows of them: of documents that share an id, those with the least features
+    are learnt from, and a label that repeats counts once.
     """
-    chosen = labels.where((remainder("doc_id", 3) != 1) & F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("label_quality")).orderBy(F.xxhash64("label_id"), "label_id", "label_quality").limit(most)
+    chosen = labels.where((remainder("doc_id", 3) != 1) & F.col("quality").isin(0, 1)).select(F.col("doc_id").cast("long").alias("label_id"), F.col("quality").cast("int").alias("label_quality")).distinct().orderBy(F.xxhash64("label_id"), "label_id", "label_quality").limit(most)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -122,8 +123,9 @@ def learn(documents: DataFrame, labels: DataFrame, most: int = 6000) -> Machine:
                 yield pa.RecordBatch.from_arrays([b.column("label_id"), b.column("label_quality"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "quality", "x"])
 
     # the right side has at most ``most`` rows of two numbers
-    told = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("label_id", "label_quality", "text")
-    got = sorted((r.doc_id, r.quality, bytes(r.x)) for r in told.mapInArrow(rows, "doc_id long, quality int, x binary").collect())
+    told = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("label_id")).select("label_id", "label_quality", "text")
+    once = told.mapInArrow(rows, "doc_id long, quality int, x binary").groupBy("doc_id", "quality").agg(F.min("x").alias("x"))
+    got = sorted((r.doc_id, r.quality, bytes(r.x)) for r in once.collect())
     x = np.frombuffer(b"".join(g[2] for g in got), "<f4").reshape(-1, WORDS + len(STATS)).astype("f8")
     return fit(x, np.array([g[1] for g in got], "f8"))
 
@@ -132,16 +134,16 @@ def score(documents: DataFrame, machine: Machine, column: str = "score") -> Data
     """``documents`` with the machine's score of their whole texts in a further column, which replaces one of that name."""
     held = documents.sparkSession.sparkContext.broadcast(machine)  # WORDS + len(STATS) rows of 9 numbers
     names = [c for c in documents.columns if c != column]
-    plain = documents.select(*(F.col(f"`{c}`") for c in names))
-    fields = StructType([*plain.schema.fields, StructField(column, DoubleType())])
+    plain = documents.select(*(quoted(c).alias(f"_{i}") for i, c in enumerate(names)))  # names with dots do not reach Arrow
+    fields = StructType([*plain.schema.fields, StructField("_score", DoubleType())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(held.value.score(features(part.column(names.index("text")).to_pylist())))], [*names, column])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(held.value.score(features(part.column(names.index("text")).to_pylist())))], fields.names)
 
-    return plain.mapInArrow(rows, fields)
+    return plain.mapInArrow(rows, fields).toDF(*names, column)
 
 
 def quality(documents: DataFrame, labels: DataFrame) -> DataFrame:

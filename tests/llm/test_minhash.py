@@ -79,6 +79,15 @@ def test_copies_inside_texts_beyond_the_sketch(docs):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_documents(docs(rows)).collect()} == want
 
 
+def test_ids_of_any_width(docs):
+    rows = corpus()
+    want = sorted(i for i, x in plain(rows).items() if x[2])
+    for kind in ("int", "smallint", "long"):
+        df = docs(rows).selectExpr(f"CAST(doc_id AS {kind}) AS doc_id", "text", "1 AS `a.b`", "2 AS `c``d`")
+        kept = drop_near_copies(df)
+        assert kept.schema == df.schema and sorted(r.doc_id for r in kept.collect()) == want
+
+
 def test_odd_rows(docs):
     assert near_documents(docs([])).count() == 0
     text = "a b c d e f g h"

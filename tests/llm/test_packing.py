@@ -1,4 +1,5 @@
 import bisect
+import json
 import random
 import zlib
 
@@ -12,7 +13,6 @@ from millrace.llm.packing import Encoder, Tree, best_fit, default_tokenizer, op5
 @pytest.fixture(scope="module")
 def plain_ids():
     t = tokenizers.Tokenizer.from_file(default_tokenizer())
-    t.encode_special_tokens = True
     return lambda texts: [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -66,14 +66,23 @@ def test_ids_of_any_text(plain_ids):
     assert list(Encoder(default_tokenizer())(texts)) == plain_ids(texts)
 
 
-def test_query_gives_added_tokens_their_ids(spark, docs, tmp_path):
-    t = tokenizers.Tokenizer.from_file(default_tokenizer())
-    ids = lambda texts: [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+def test_query_gives_added_tokens_their_ids(spark, docs, tmp_path, plain_ids):
+    ids = plain_ids
     texts = ["hello <|endoftext|> x", "<|endoftext|>", "<|endoftext|><|endoftext|>", "a  <|endoftext|>\n\n b", "<|endoftext|", "x <|ENDOFTEXT|> y", "a<|endoftext|>b c", "<<|endoftext|>>"]
     assert ids(texts[:1]) == [np.array([31373, 220, 50256, 2124], "<u4").tobytes()]
     rows = list(enumerate(texts))
     docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
     check(op5_best_fit_packing(spark, str(tmp_path)).collect(), rows, ids)
+    t = tokenizers.Tokenizer.from_file(default_tokenizer())
+    t.encode_special_tokens = True
+    assert list(Encoder(default_tokenizer(), added=False)(texts)) == [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"pre_tokenizer": None}])
+def test_files_of_another_kind_are_refused(tmp_path, change):
+    (tmp_path / "t.json").write_text(json.dumps(json.loads(open(default_tokenizer()).read()) | change))
+    with pytest.raises(ValueError):
+        Encoder(str(tmp_path / "t.json"))
 
 
 @pytest.mark.parametrize("seed", range(8))

@@ -24,6 +24,14 @@ def test_stages(spark, sf):
     assert sorted(map(str, cp.run(spark, where).select("doc_id", "piece", "ids_crc32").collect())) == sorted(f"Row(doc_id={r.doc_id}, piece={r.piece}, ids_crc32={r.ids_crc32})" for r in rows)
 
 
+def test_names_with_signs_in_them(spark, sf):
+    where = sf("sf0.001")
+    docs = spark.read.parquet(where + "/documents.parquet").limit(60).selectExpr("CAST(doc_id AS INT) AS doc_id", "text", "source", "lang", "n_chars", "1 AS `a.b`", "2 AS `c``d`", "3 AS mix_block2")
+    for _, stage in cp.STAGES[:-1]:
+        got = stage(spark, docs, where)
+        assert got.columns == docs.columns and 0 < got.count()
+
+
 def test_stages_of_nothing(spark, sf):
     where = sf("sf0.001")
     for _, stage in cp.STAGES:

@@ -24,6 +24,14 @@ def test_held_out_labels_change_nothing(spark, docs):
     assert a == b and all((s >= 0.5) == (i % 2) for i, s in a.items())
 
 
+def test_labelled_documents_that_repeat(spark, docs):
+    """Of rows that share an id one is learnt from, however many there are."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 2, "doc_id long, quality int")
+    rows = [(i, "good text of words here." if i % 2 else "BAD!! JUNK!! $$$ ###") for i in range(40)]
+    once, often = learn(docs(rows), labels), learn(docs(rows + rows[:2] * 50), labels)
+    assert once.bias == often.bias and (once.w == often.w).all() and (once.v == often.v).all()
+
+
 def test_odd_rows(spark, docs):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, None), (3, 7), (None, 1), (99, 0)], "doc_id long, quality int")
     rows = [(1, "fine words."), (2, None), (3, ""), (None, "x"), (4, "word " * 100_000), (1, "fine words.")]
