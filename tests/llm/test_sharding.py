@@ -1,7 +1,12 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
-from millrace.llm.sharding import op6_label_propagation, shard_documents
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm import sharding
+from millrace.llm.sharding import _within, admitted, op6_label_propagation, propagate, shard_documents
 
 
 def check(rows, texts, shards):
@@ -40,3 +45,79 @@ def test_odd_rows(docs):
     assert shard_documents(docs([])).count() == 0
     same = [(i, "x") for i in range(50)]
     check(shard_documents(docs(same), 7).collect(), same, 7)
+
+
+def start(spark, groups, shards, seed):
+    """Members of groups of those sizes under random labels, as counts."""
+    rng = random.Random(seed)
+    labels = Counter((g, rng.randrange(shards)) for g, n in enumerate(groups) for _ in range(n))
+    return spark.createDataFrame([(str(g).encode(), s, n) for (g, s), n in labels.items()], "g binary, shard int, n long")
+
+
+def cut_links(rows):
+    by = defaultdict(list)
+    for g, _, n in rows:
+        by[g].append(n)
+    return sum((sum(ns) ** 2 - sum(n * n for n in ns)) // 2 for ns in by.values())
+
+
+def best(groups, quota):
+    """The fewest links that any placement of the groups' members under the quotas cuts, by trying all."""
+    if not groups:
+        return 0
+
+    def split(n, room):
+        if not room:
+            return [()] if n == 0 else []
+        return [(k, *rest) for k in range(min(n, room[0]) + 1) for rest in split(n - k, room[1:])]
+
+    first, *rest = groups
+    return min((cut_links([(0, 0, n) for n in p]) + best(rest, tuple(q - k for q, k in zip(quota, p, strict=True))) for p in split(first, quota)), default=10**9)
+
+
+@pytest.mark.parametrize("groups, singles, shards", [([3, 3, 2], 13, 3), ([2, 2, 2, 2], 0, 2), ([5, 2, 2], 12, 3), ([4, 4, 4], 0, 3), ([3, 3, 2], 4, 3), ([9], 3, 3)])
+def test_against_brute_force(spark, groups, singles, shards):
+    total = sum(groups) + singles
+    quota = [total // shards + (s < total % shards) for s in range(shards)]
+    least = best(groups, tuple(quota))
+    for seed in range(2):
+        state, cuts = propagate(_within(start(spark, groups, shards, seed), quota, 4), quota, 4, 6)
+        rows = [tuple(r) for r in state.select(F.hex("g"), "shard", "n").collect()]
+        held = Counter()
+        for _, s, n in rows:
+            held[s] += n
+        assert sum(held.values()) == sum(groups) and all(n <= quota[s] for s, n in held.items())
+        assert cut_links(rows) == cuts[-1] >= least and all(b < a for a, b in zip(cuts, cuts[1:], strict=False))
+        if singles > sum(groups) or len(groups) == 1:
+            assert cuts[-1] == least  # with room to move there is no better placement
+
+
+def test_cut_links_fall_round_by_round(spark):
+    """Little room: some move at once, others where their neighbours have gone meanwhile. Much room: one round is enough."""
+    groups, shards = [2, 3, 5, 8] * 50, 10
+    for singles, rounds in ((20, 8), (300, 1)):
+        total = sum(groups) + singles
+        quota = [total // shards + (s < total % shards) for s in range(shards)]
+        state, cuts = propagate(_within(start(spark, groups, shards, 1), quota, 16), quota, 16, rounds)
+        assert len(cuts) == rounds + 1 and all(b < a for a, b in zip(cuts, cuts[1:], strict=False))
+        assert cuts[-1] <= (0 if singles == 300 else 0.2 * cuts[0])
+
+
+def test_admission_keeps_quotas():
+    rng = random.Random(3)
+    for _ in range(300):
+        shards = rng.randint(1, 6)
+        asked = {(i, j): rng.randint(1, 30) for i in range(shards) for j in range(shards) if i != j and rng.random() < 0.6}
+        room = {s: rng.choice([0, 0, 5, 40]) for s in range(shards)}
+        given = admitted(asked, room)
+        for s in range(shards):
+            assert sum(n for (_, j), n in given.items() if j == s) - sum(n for (i, _), n in given.items() if i == s) <= room[s]
+        assert all(0 <= given[k] <= asked[k] for k in asked) and given.keys() == asked.keys()
+
+
+def test_sums_of_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CHUNK", 3)
+    df = spark.range(500).selectExpr("id", "id % 7 AS n", "id % 2 AS by", "id div 4 AS b")
+    for by in ([], ["by"]):
+        got = sharding._running(df, by, "n", [F.col("id")], F.col("b"), 125, "before").collect()
+        assert len(got) == 500 and all(r.before == sum(i % 7 for i in range(r.id) if not by or i % 2 == r.id % 2) for r in got)
