@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, new_path, table
+from .common import cut, new_path, stash, table
 
 # Fixed values of the Zstandard and WARC formats.
 FRAME_MAGIC = 0xFD2FB528
@@ -25,6 +26,8 @@ BETWEEN = "P*M\x18\x00\x00\x00\x00"
 
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 SAMPLES, DICTIONARY_BYTES = 200, 16384
+#: An archive has at most so many pieces, each at least so large, and ends early where it outgrows their product.
+PIECES, PIECE_BYTES = 256, 1 << 18
 
 
 def _record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
@@ -47,33 +50,46 @@ def _dictionary(samples: list[bytes]) -> zstandard.ZstdCompressionDict:
         return zstandard.ZstdCompressionDict(b"".join(samples)[-DICTIONARY_BYTES:].rjust(8, b" "), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
-def _write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One task's archive, piece by piece. The dictionary learns from the task's first records, SAMPLES at most."""
+def _write(batches: Iterator[pa.RecordBatch], pieces: int, piece_bytes: int) -> Iterator[pa.RecordBatch]:
+    """One task's archives, piece by piece. The writer begins a file after every ``pieces`` rows; an archive that ends before fills up with empty ones.
+
+    Each archive has its own dictionary, which learns from its first records, SAMPLES at most.
+    """
+
     def records():
         for b in batches:
             for page_id, url, html, digest, refers_to in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "payload_digest", "refers_to")), strict=True):
                 yield _record(page_id, url, (html or "").encode(), digest, refers_to)
 
-    rest, first = records(), []
-    for r in rest:
-        first.append(r)
-        if len(first) >= SAMPLES:
-            break
-    if not first:
-        return
-    learnt = _dictionary(first)
-    raw = learnt.as_bytes()
-    pack = zstandard.ZstdCompressor(level=3, dict_data=learnt, write_content_size=True, write_checksum=True)
-    held, size = [struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw], 0
-    for some in (first, rest):
-        for r in some:
+    rows = lambda values: pa.RecordBatch.from_arrays([pa.array(values, pa.binary())], ["value"])
+    source, waiting, limit = records(), deque(), pieces * piece_bytes
+    while True:
+        size = sum(map(len, waiting))
+        for r in source if len(waiting) < SAMPLES else ():
+            waiting.append(r)
+            size += len(r)
+            if len(waiting) >= SAMPLES or size >= limit // 8:
+                break
+        if not waiting:
+            return
+        learnt = _dictionary(list(waiting))
+        raw = learnt.as_bytes()
+        pack = zstandard.ZstdCompressor(level=3, dict_data=learnt, write_content_size=True, write_checksum=True)
+        held, size, whole, done = [struct.pack("<II", DICTIONARY_MAGIC, len(raw)) + raw], 0, 0, 0
+        for r in iter(lambda: waiting.popleft() if waiting else next(source, None), None):
             held.append(pack.compress(r))
             size += len(held[-1])
-            if size > 1 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["value"])
-                held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["value"])
+            if size >= piece_bytes:
+                yield rows([BETWEEN.encode().join(held)])
+                held, whole, size, done = [], whole + size, 0, done + 1
+                if done == pieces or whole >= limit:
+                    break
+        else:
+            if held:
+                yield rows([BETWEEN.encode().join(held)])
+            return
+        if done < pieces:
+            yield rows([b""] * (pieces - done))
 
 
 def _frames(data: memoryview) -> Iterator[tuple[int, memoryview]]:
@@ -168,8 +184,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_pylist(out, _ARROW)
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 100) -> None:
-    """A record for each row of ``pages`` (page_id, url, html), as one .warc.zst archive a task in the folder ``path``.
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 100, pieces: int = PIECES, piece_bytes: int = PIECE_BYTES) -> None:
+    """A record for each row of ``pages`` (page_id, url, html), as Zstandard archives in the folder ``path``.
+
+    A task writes as many archives as it takes for each to have ``pieces`` times ``piece_bytes`` bytes
+    (64 MB) and a record at most, so that reading one takes little memory whatever the input's size.
 
     Payloads of at least ``least_bytes`` that are equal, by SHA-256, are stored once: the
     smallest page_id has the response, the others revisit it. Which row revisits which is
@@ -187,7 +206,8 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 100) -> None:
     again = large.join(first, "payload_digest").where("page_id > refers_to").distinct()
     told = rows.join(again, ["page_id", "payload_digest"], "left").select("page_id", "url", "html", "payload_digest", "refers_to")
     # the cast keeps the bytes as they are; the text writer copies them
-    told.mapInArrow(_write, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", BETWEEN).text(path)
+    written = told.mapInArrow(lambda batches: _write(batches, pieces, piece_bytes), "value binary").select(F.col("value").cast("string").alias("value"))
+    written.write.option("lineSep", BETWEEN).option("maxRecordsPerFile", pieces).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -195,14 +215,31 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     The dictionary comes from the leading skippable frame, where there is one; each further
     frame must hold exactly one record. Wrong headers, lengths, digests or frames raise ValueError.
+    A revisit tells the length and digest of a payload that another record holds: ``wrong_revisits``
+    compares them.
     """
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_read, SCHEMA)
 
 
+def wrong_revisits(records: DataFrame) -> DataFrame:
+    """(refers_to, payload_digest, payload_bytes, n) of the revisits for which no response of that page_id has that digest and length.
+
+    Revisits of one response are first added up, so one that a third of all records refer to is a row here.
+    """
+    claims = records.where("record_type = 'revisit'").groupBy("refers_to", "payload_digest", "payload_bytes").agg(F.count("*").alias("n"))
+    held = records.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes")
+    return claims.join(held, ["refers_to", "payload_digest", "payload_bytes"], "left_anti")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives written and read back; ValueError if a revisit tells something else than the response it refers to."""
     path = new_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = stash(read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), "warc-records")
+    wrong = wrong_revisits(records).first()
+    if wrong:
+        raise ValueError(f"{wrong.n} revisits of page {wrong.refers_to} differ from it")
+    return records
 
 
 OP3_SQL = """

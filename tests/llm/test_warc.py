@@ -1,11 +1,12 @@
 import hashlib
+import random
 import struct
 
 import pytest
 import zstandard
 
 from millrace.llm import warc
-from millrace.llm.warc import OP3_SQL, op3_warc, parse_record, read_archives, write_archives
+from millrace.llm.warc import OP3_SQL, op3_warc, parse_record, read_archives, write_archives, wrong_revisits
 
 
 def test_against_sql(spark, duck, got, sf):
@@ -38,6 +39,34 @@ def test_round_trip(spark, tmp_path):
         assert sorted(got, key=repr) == sorted(plain(rows), key=repr)
 
 
+def test_archives_end_at_their_size(spark, tmp_path):
+    """Many archives a task: each begins with a dictionary of its own, and all records come back."""
+    rng = random.Random(1)
+    rows = [(i, f"http://h/{i}", "".join(rng.choice("abcdefgh <p>") for _ in range(rng.choice([0, 50, 150, 900, 9000])))) for i in range(500)]
+    rows += [(500 + i, "again", rows[7 * i][2]) for i in range(60)]
+    for pieces, piece_bytes, least in ((4, 1000, 30), (2, 30_000, 3), (300, 1, 3)):
+        path = str(tmp_path / f"p{pieces}")
+        write_archives(pages(spark, rows).repartition(2), path, pieces=pieces, piece_bytes=piece_bytes)
+        files = [f for f in (tmp_path / f"p{pieces}").iterdir() if f.name.startswith("part-")]
+        assert len(files) >= least
+        for f in files:
+            frames = [m for m, _ in warc._frames(memoryview(f.read_bytes()))]
+            assert frames[0] == warc.DICTIONARY_MAGIC and frames.count(warc.DICTIONARY_MAGIC) == 1
+            assert f.stat().st_size < pieces * piece_bytes + 40_000
+        got = [tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in read_archives(spark, path).collect()]
+        assert sorted(got, key=repr) == sorted(plain(rows), key=repr)
+
+
+def test_revisits_are_held_against_their_response(spark):
+    kinds = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    good = [(1, 200, "aa", "response", None), (2, 200, "aa", "revisit", 1), (3, 200, "aa", "revisit", 1), (1, 200, "aa", "response", None), (9, 5, "cc", "response", None)]
+    assert wrong_revisits(spark.createDataFrame(good, kinds)).count() == 0
+    bad = [(4, 200, "bb", "revisit", 1), (5, 199, "aa", "revisit", 1), (6, 200, "aa", "revisit", 2), (7, 200, "aa", "revisit", 77), (8, 200, "aa", "revisit", None), (10, 200, "aa", "revisit", 77)]
+    got = wrong_revisits(spark.createDataFrame(good + bad, kinds)).collect()
+    assert sorted((r.refers_to or 0, r.payload_digest, r.payload_bytes, r.n) for r in got) == [(0, "aa", 200, 1), (1, "aa", 199, 1), (1, "bb", 200, 1), (2, "aa", 200, 1), (77, "aa", 200, 2)]
+    assert wrong_revisits(spark.createDataFrame([], kinds)).count() == 0
+
+
 def test_nothing(spark, tmp_path):
     write_archives(pages(spark, []), str(tmp_path / "none"))
     assert read_archives(spark, str(tmp_path / "none")).count() == 0
