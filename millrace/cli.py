@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from .errors import MillraceError
@@ -27,8 +28,8 @@ def main(folder: str, source=sys.stdin) -> int:
     for text in statements(source):
         try:
             engine.execute(text)
-        except MillraceError as e:
-            print(f"{type(e).__name__}: {e}", file=sys.stderr)
+        except (MillraceError, PySparkException) as e:  # also what Spark finds wrong in rows
+            print(f"{type(e).__name__}: {str(e)[:2000]}", file=sys.stderr)
             failed = 1
     return failed
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -88,7 +89,7 @@ def _check(q: Select, scope: Scope) -> None:
 
 
 def _order(aliases: list[str], groups: list[tuple[set[str], list[Comparison]]], statistics: Statistics | None, scope: Scope) -> list[str]:
-    """Which table joins when: connected tables before others; with statistics the pair and then the table that leave fewest rows, else as written."""
+    """Which table joins when: connected tables before others; with statistics the pair and then the table that leave fewest rows, else the smallest, else as written."""
     if len(aliases) < 3:
         return aliases
 
@@ -96,8 +97,6 @@ def _order(aliases: list[str], groups: list[tuple[set[str], list[Comparison]]],
         return any(a in used and used & set(done) and used <= {*done, a} for used, _ in groups)
 
     def size(done: list[str]) -> float:
-        if statistics is None:
-            return 0.0
         try:
             cnf = [[Comparison(*(Operand(o.kind, scope.inner(o.value) if o.kind == "name" else o.value) if isinstance(o, Operand) else o for o in (c.left, c.op, c.right))) for c in g] for used, g in groups if used and used <= set(done)]
             named = set().union(*(used for used, _ in groups if used and used <= set(done)))
@@ -108,6 +107,13 @@ def _order(aliases: list[str], groups: list[tuple[set[str], list[Comparison]]],
         except (EstimateError, KeyError):
             return 0.0
 
+    if statistics is None:
+        # without row counts, the sizes that Spark knows of the tables: small ones meet first
+        weight = {a: int(str(scope.tables[a]._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for a in aliases}
+
+    def size(done: list[str], estimated=size) -> float:
+        return estimated(done) if statistics is not None else float(sum(weight[a] for a in done))
+
     pairs = [[a, b] for i, a in enumerate(aliases) for b in aliases[i + 1 :]]
     done = min(pairs, key=lambda p: (not linked(p[:1], p[1]), size(p)))
     while len(done) < len(aliases):
@@ -115,29 +121,80 @@ def _order(aliases: list[str], groups: list[tuple[set[str], list[Comparison]]],
     return done
 
 
-def plan(q: Select, tables: dict[str, DataFrame], statistics: Statistics | None = None, strict: bool = False) -> tuple[DataFrame, Node]:
+def _equals(groups: list[tuple[set[str], list[Comparison]]], scope: Scope) -> list[set[str]]:
+    """Columns that conjuncts make equal, as sets of alias.column of one type."""
+    out: list[set[str]] = []
+    for _, g in groups:
+        c = g[0]
+        if len(g) == 1 and c.op == "=" and c.left.kind == c.right.kind == "name" and scope.resolve(c.left.value).kind is scope.resolve(c.right.value).kind:
+            both = {scope.inner(c.left.value), scope.inner(c.right.value)}
+            met = [s for s in out if s & both]
+            out = [s for s in out if not s & both] + [both.union(*met)]
+    return out
+
+
+def _derived(group: list[Comparison], alias: str, equal: list[set[str]], scope: Scope) -> list[Comparison] | None:
+    """The alternatives of a conjunct over several tables said of ``alias`` alone, by columns that equal its own; None if that cannot be."""
+
+    def own(o: Operand) -> Operand | None:
+        if o.kind != "name" or scope.place(o.value)[0] == alias:
+            return o
+        found = sorted(x for s in equal if scope.inner(o.value) in s for x in s if x.partition(".")[0] == alias)
+        return Operand("name", found[0]) if found else None
+
+    pairs = [(own(c.left), c.op, own(c.right)) for c in group]
+    return None if any(a is None or b is None for a, _, b in pairs) else [Comparison(a, op, b) for a, op, b in pairs]
+
+
+def prefix(q: Select, alias: str, keys: list[str], scope: Scope) -> dict[str, str | int | float]:
+    """Values that conjuncts of one comparison give the leading sort keys of a table: each further key needs those before it."""
+    kinds, given = {"string": str, "int": int, "float": float}, {}
+    for group in q.where:
+        c = group[0]
+        if len(group) == 1 and c.op == "=" and (c.left.kind == "name") != (c.right.kind == "name"):
+            name, value = (c.left, c.right) if c.left.kind == "name" else (c.right, c.left)
+            at, column = scope.place(name.value)
+            if at == alias and scope.resolve(name.value).kind.value.lower() in (value.kind, {"float": "double"}.get(value.kind)):
+                given.setdefault(column, kinds[value.kind](value.value))
+    out = {}
+    for k in keys:
+        if k not in given:
+            break
+        out[k] = given[k]
+    return out
+
+
+def plan(q: Select, tables: dict[str, DataFrame], statistics: Statistics | None = None, strict: bool = False, sort_keys: dict[str, list[str]] | None = None, lookup: Callable[..., DataFrame] | None = None) -> tuple[DataFrame, Node]:
     """The DataFrame of a SELECT over ``tables`` (by name) and its printable plan.
 
     Conjuncts of one table filter it; others join or filter as soon as their tables are
-    there; all apply, whatever the number of tables. Spark prunes columns, pushes filters into
-    scans and picks join strategies. ``statistics`` (by table name) order the joins.
+    there; all apply, whatever the number of tables. A conjunct over several tables also filters
+    each one by itself for which columns made equal say as much. Of a table with ``sort_keys``
+    whose leading keys are given, only what ``lookup`` finds is read. Spark prunes columns, pushes
+    filters into scans and picks join strategies. ``statistics`` (by table name) order the joins.
     """
     scope = Scope({alias: tables[name] for name, alias in q.tables})
     _check(q, scope)
+    found = {}
+    for name, alias in q.tables:
+        if sort_keys and (keys := prefix(q, alias, sort_keys.get(name, []), scope)):
+            scope.tables[alias], found[alias] = lookup(name, **keys), keys
     if statistics is not None:
         known, statistics = statistics, Statistics()
         for name, alias in q.tables:
             if name in known.relations:
                 statistics.relations[alias] = Statistics.copy(known).relations[name]
     groups = [(scope.aliases(g), g) for g in q.where]
+    equal = _equals(groups, scope)
     frames, nodes = {}, {}
     for name, alias in q.tables:
         own = [g for used, g in groups if used == {alias}]
+        own += [d for used, g in groups if len(g) > 1 and len(used) > 1 and (d := _derived(g, alias, equal, scope))]
         df = scope.frame(alias)
         for g in own:
             df = df.where(any_of(g, scope.resolve, strict))
         frames[alias] = df
-        nodes[alias] = Node("SelectFile", [f"{name} AS {alias}", *([show_cnf(own)] if own else [])])
+        nodes[alias] = Node("SortedLookup" if alias in found else "SelectFile", [f"{name} AS {alias}", *(["by " + ", ".join(found[alias])] if alias in found else []), *([show_cnf(own)] if own else [])])
     order = _order([a for _, a in q.tables], groups, statistics, scope)
     left = [(used, g) for used, g in groups if len(used) != 1]
     df, node, done = frames[order[0]], nodes[order[0]], {order[0]}

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .errors import InvalidQuery, TableNotFound
+from .errors import InvalidQuery, MillraceError, TableNotFound
+from .events import log
 from .plans.planner import Node, plan
 from .plans.syntax import CreateTable, DropTable, Insert, Select, SetOutput, parse
+from .sources.files import Files
 from .sources.store import TableStore
 from .sources.text import write_rows
 from .stats import Statistics
@@ -51,10 +52,8 @@ class Engine:
         self.store = TableStore(spark, root) if root else None
         self.views: dict[str, DataFrame] = {}
         self.session_file = session_file
-        self.session = Session()
-        if session_file and os.path.exists(session_file):
-            with open(session_file) as f:
-                self.session = Session.loads(f.read())
+        kept = Files(spark).current(session_file) if session_file else None
+        self.session = Session() if kept is None else Session.loads(kept)
 
     def view(self, name: str, df: DataFrame) -> None:
         """Make a DataFrame a table of this engine."""
@@ -73,7 +72,9 @@ class Engine:
         raise TableNotFound(name)
 
     def _planned(self, q: Select) -> tuple[DataFrame, Node]:
-        return plan(q, {name: self.table(name) for name, _ in q.tables}, self.statistics, self.strict)
+        names = {name for name, _ in q.tables}
+        keys = {n: self.store.sort_keys(n) for n in names if n not in self.views} if self.store else {}
+        return plan(q, {n: self.table(n) for n in names}, self.statistics, self.strict, keys, self.store.lookup if self.store else None)
 
     def _select(self, text: str) -> Select:
         q = parse(text)
@@ -95,6 +96,14 @@ class Engine:
 
     def execute(self, text: str, say=print) -> int | None:
         """Run one statement. A SELECT returns how many rows it gave, or None if it only showed its plan."""
+        log.info("statement: %s", " ".join(text.split()))
+        try:
+            return self._execute(text, say)
+        except MillraceError as e:
+            log.error("%s: %s", type(e).__name__, e)
+            raise
+
+    def _execute(self, text: str, say) -> int | None:
         match parse(text):
             case CreateTable(name, columns, keys):
                 self._stored().create(name, columns, "heap" if keys is None else "sorted", keys)
@@ -105,8 +114,7 @@ class Engine:
             case SetOutput(target, file):
                 self.session = Session(target, True, True) if file else Session("stdout") if target == "STDOUT" else Session("none", False)
                 if self.session_file:
-                    with open(self.session_file, "w") as f:
-                        f.write(self.session.dumps())
+                    Files(self.spark).replace(self.session_file, self.session.dumps())
             case Select() as q:
                 df, node = self._planned(q)
                 if self.session.show_plan:

@@ -30,6 +30,19 @@ class Files:
         if not fs.rename(at, self.jvm.org.apache.hadoop.fs.Path(new)):
             raise OSError(f"{old} could not be renamed to {new}")
 
+    def replace(self, path: str, text: str) -> None:
+        """A file's text, new or changed. Whoever dies on the way leaves the old text or ``path``.new, which ``current`` finds."""
+        self.write(f"{path}.new", text)
+        self.delete(path)
+        self.rename(f"{path}.new", path)
+
+    def current(self, path: str) -> str | None:
+        """The text that ``replace`` wrote last, or None."""
+        for at in (path, f"{path}.new"):
+            if self.exists(at):
+                return self.read(at)
+        return None
+
     def read(self, path: str) -> str:
         fs, at = self._at(path)
         stream = fs.open(at)

@@ -11,7 +11,7 @@ from ..types import Kind, kind_of
 
 
 def _number(part: Column, kind: Kind, lenient: bool) -> Column:
-    to = "int" if kind is Kind.INT else "double"
+    to = "bigint" if kind is Kind.INT else "double"
     if lenient:  # as much of the start as is a number, else 0
         rule = r"^\s*([+-]?\d+)" if kind is Kind.INT else r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
         part = F.regexp_extract(part, rule, 1)

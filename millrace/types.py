@@ -27,7 +27,8 @@ def kind_of(data_type: T.DataType) -> Kind:
 
 
 def spark_type(kind: Kind) -> T.DataType:
-    return {Kind.INT: T.IntegerType(), Kind.DOUBLE: T.DoubleType(), Kind.STRING: T.StringType()}[kind]
+    """What tables store. Int is 64 bits wide, as keys of large tables need."""
+    return {Kind.INT: T.LongType(), Kind.DOUBLE: T.DoubleType(), Kind.STRING: T.StringType()}[kind]
 
 
 def comparable(left: Kind, right: Kind, strict: bool) -> None:

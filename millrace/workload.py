@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -44,8 +46,16 @@ def _folder(spark: SparkSession) -> str:
     if not shared:
         if spark.sparkContext.master.partition("[")[0] != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        return tempfile.mkdtemp(prefix="millrace-tables-")
-    return f"{shared}/tables-{uuid.uuid4().hex}"
+        shared = tempfile.gettempdir()
+    path = f"{shared}/millrace-tables-{uuid.uuid4().hex}"
+    files = Files(spark)
+
+    def clear() -> None:
+        with contextlib.suppress(Exception):  # the JVM may have ended before this process does
+            files.delete(path)
+
+    atexit.register(clear)
+    return path
 
 
 NATION = [("n_nationkey", "Int"), ("n_name", "String"), ("n_regionkey", "Int")]
@@ -85,8 +95,8 @@ def _sorted(spark: SparkSession, sf_dir: str) -> TableStore:
     store = TableStore(spark, _folder(spark))
     store.create("orders", [("o_orderkey", "Int"), ("o_orderstatus", "String"), ("o_totalprice", "Double")], "sorted", ["o_orderstatus", "o_orderkey"])
     rows = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    store.append("orders", rows.where("o_orderkey % 2 = 1"))
-    store.append("orders", rows.where("o_orderkey % 2 = 0"))
+    for k in (1, 0, 3, 2, 4):
+        store.append("orders", rows.where(f"o_orderkey % 5 = {k}"))
     return store
 
 
@@ -95,7 +105,9 @@ def sorted_table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sorted_table_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ops.select_pipe(_sorted(spark, sf_dir).lookup("orders", o_orderstatus="P"), "(o_totalprice > 1000.0)")
+    e = Engine(spark)
+    e.store = _sorted(spark, sf_dir)
+    return e.sql("SELECT o.o_orderkey, o.o_orderstatus, o.o_totalprice FROM orders AS o WHERE (o.o_orderstatus = 'P') AND (o.o_totalprice > 1000.0)")
 
 
 def _as_text(spark: SparkSession, sf_dir: str) -> str:
@@ -145,26 +157,56 @@ def explain_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(text.splitlines())), "line int, text string")
 
 
-def _measured(spark: SparkSession, sf_dir: str, **columns: list[str]) -> Statistics:
-    s = Statistics()
-    for name, some in columns.items():
-        s.from_dataframe(name, _read(spark, sf_dir, name), some)
-    return s
+def explain_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans with a sum, a filter above the scans, distinct rows, a lookup by sort keys, and rows written to a file."""
+    e, lines = engine(spark, sf_dir), []
+    e.store = TableStore(spark, _folder(spark))
+    e.store.create("s", [("k", "Int"), ("v", "String")], "sorted", ["k", "v"])
+    texts = (
+        "SELECT SUM (r.r_regionkey) FROM region AS r WHERE (2 > 1)",
+        "SELECT DISTINCT n.n_regionkey FROM nation AS n",
+        "SELECT s.v FROM s AS s WHERE (s.k = 3)",
+        "SELECT SUM DISTINCT (o.o_totalprice) FROM orders AS o, lineitem AS l WHERE (o.o_orderkey = l.l_orderkey) AND (o.o_orderkey < 3 OR l.l_orderkey = 7)",
+    )
+    for text in texts:
+        lines += e.explain(text).splitlines()
+    path = f"{_folder(spark)}/out"
+    e.execute(f"SET OUTPUT '{path}'")
+    said: list[str] = []
+    e.execute("SELECT r.r_name FROM region AS r", said.append)
+    lines += [x.replace(path, "out") for x in said[0].splitlines()]
+    return spark.createDataFrame(list(enumerate(lines)), "line int, text string")
+
+
+_MEASURED: dict[str, Statistics] = {}
+
+
+def _measured(spark: SparkSession, sf_dir: str, exact: bool = False, **columns: list[str]) -> Statistics:
+    """Statistics of some columns. Those that only order joins come from sketches and are kept: they are measured once a process."""
+    key = f"{sf_dir} {sorted(columns.items())}"
+    if exact or key not in _MEASURED:
+        s = Statistics()
+        for name, some in columns.items():
+            s.from_dataframe(name, _read(spark, sf_dir, name), some, exact)
+        if exact:
+            return s
+        _MEASURED[key] = s
+    return _MEASURED[key].copy()
 
 
 def stats_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _measured(spark, sf_dir, customer=["c_custkey", "c_nationkey", "c_mktsegment"])
+    s = _measured(spark, sf_dir, True, customer=["c_custkey", "c_nationkey", "c_mktsegment"])
     r = s.relations["customer"]
     return spark.createDataFrame([("customer", a, r.rows, d) for a, d in r.attributes.items()], "relation string, attribute string, n_rows long, n_distinct long")
 
 
 def stats_estimate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _measured(spark, sf_dir, customer=["c_custkey"], orders=["o_custkey"])
+    s = _measured(spark, sf_dir, True, customer=["c_custkey"], orders=["o_custkey"])
     return spark.createDataFrame([(round(s.estimate("(c_custkey = o_custkey)", ["customer", "orders"]), 2),)], "estimate double")
 
 
 def stats_estimate_or(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _measured(spark, sf_dir, lineitem=["l_returnflag", "l_discount", "l_linestatus"])
+    s = _measured(spark, sf_dir, True, lineitem=["l_returnflag", "l_discount", "l_linestatus"])
     return spark.createDataFrame([(round(s.estimate("(l_returnflag = 'R') AND (l_discount < 0.04 OR l_linestatus = 'F')", ["lineitem"]), 2),)], "estimate double")
 
 
@@ -193,6 +235,7 @@ DIALECT = {
     "join_cross_table_or": ("SELECT l.l_orderkey, l.l_linenumber, o.o_totalprice FROM orders AS o, lineitem AS l WHERE (o.o_orderkey = l.l_orderkey) AND (l.l_orderkey < 100 OR o.o_totalprice < 5000.0)", "SELECT l_orderkey, l_linenumber, o_totalprice FROM orders, lineitem WHERE o_orderkey = l_orderkey AND (l_orderkey < 100 OR o_totalprice < 5000.0)"),
     "join_equi_residual": ("SELECT o.o_orderkey, l.l_linenumber FROM orders AS o, lineitem AS l WHERE (o.o_orderkey = l.l_orderkey) AND (l.l_extendedprice > o.o_totalprice)", "SELECT o_orderkey, l_linenumber FROM orders, lineitem WHERE o_orderkey = l_orderkey AND l_extendedprice > o_totalprice"),
     "join_5_distinct": ("SELECT DISTINCT c.c_name FROM lineitem AS l, orders AS o, customer AS c, nation AS n, region AS r WHERE (l.l_orderkey = o.o_orderkey) AND (o.o_custkey = c.c_custkey) AND (c.c_nationkey = n.n_nationkey) AND (n.n_regionkey = r.r_regionkey)", "SELECT DISTINCT c_name FROM lineitem, orders, customer, nation, region WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey AND c_nationkey = n_nationkey AND n_regionkey = r_regionkey"),
+    "join_3_distinct": ("SELECT DISTINCT s.s_name FROM supplier AS s, part AS p, lineitem AS l WHERE (s.s_suppkey = l.l_suppkey) AND (p.p_partkey = l.l_partkey) AND (p.p_brand = 'Brand#4') AND (l.l_extendedprice < 35000.0)", "SELECT DISTINCT s_name FROM supplier, part, lineitem WHERE s_suppkey = l_suppkey AND p_partkey = l_partkey AND p_brand = 'Brand#4' AND l_extendedprice < 35000.0"),
     "join_5_filter": ("SELECT l.l_discount FROM lineitem AS l, orders AS o, customer AS c, nation AS n, region AS r WHERE (l.l_orderkey = o.o_orderkey) AND (o.o_custkey = c.c_custkey) AND (c.c_nationkey = n.n_nationkey) AND (n.n_regionkey = r.r_regionkey) AND (r.r_regionkey = 1) AND (o.o_orderkey < 10000)", "SELECT l_discount FROM lineitem, orders, customer, nation, region WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey AND c_nationkey = n_nationkey AND n_regionkey = r_regionkey AND r_regionkey = 1 AND o_orderkey < 10000"),
     "sum_expr": ("SELECT SUM (s.s_acctbal + (s.s_acctbal * 1.05)) FROM supplier AS s", "SELECT round(sum(s_acctbal + s_acctbal * CAST(1.05 AS DOUBLE)), 2) AS sum FROM supplier"),
     "sum_int": ("SELECT SUM (p.p_size) FROM part AS p", "SELECT round(CAST(sum(p_size) AS DOUBLE), 2) AS sum FROM part"),
@@ -210,8 +253,16 @@ DIALECT = {
     "distinct_multi": ("SELECT DISTINCT l.l_returnflag, l.l_linestatus FROM lineitem AS l", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem"),
 }
 
-_NATION_SQL = "SELECT n_nationkey, n_name, n_regionkey FROM nation"
-_ORDERS_SQL = "SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey, o_orderstatus, o_totalprice FROM orders"
+_NATION_SQL = "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation"
+_ORDERS_SQL = "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders"
+_NODES = (
+    "Sum: SUM r.r_regionkey", "  SelectPipe: (2 > 1)", "    SelectFile: region AS r",
+    "Distinct", "  Project: n.n_regionkey", "    SelectFile: nation AS n",
+    "Project: s.v", "  SortedLookup: s AS s; by k; (s.k = 3)",
+    "Sum: SUM DISTINCT o.o_totalprice", "  Join: (o.o_orderkey = l.l_orderkey) AND (o.o_orderkey < 3 OR l.l_orderkey = 7)",
+    "    SelectFile: orders AS o; (o.o_orderkey < 3 OR o.o_orderkey = 7)", "    SelectFile: lineitem AS l; (l.l_orderkey < 3 OR l.l_orderkey = 7)",
+    "WriteOut: out", "  Project: r.r_name", "    SelectFile: region AS r",
+)
 OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "scan_all": (scan_all, "SELECT * FROM region"),
     "select_pipe": (select_pipe, "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 400000.0"),
@@ -226,6 +277,7 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "ddl_drop": (ddl_drop, "SELECT 'keep' AS name, true AS stored"),
     "writeout_format": (writeout_format, "SELECT printf('s_suppkey: [%d], s_name: [%s], s_acctbal: [%.6f]', s_suppkey, s_name, s_acctbal) AS line FROM supplier"),
     "explain_plan": (explain_plan, "SELECT * FROM (VALUES (CAST(0 AS INTEGER), 'Project: sum, n.n_name'), (1, '  GroupBy: SUM s.s_acctbal; by n.n_name'), (2, '    Join: (s.s_nationkey = n.n_nationkey)'), (3, '      SelectFile: supplier AS s; (s.s_acctbal > 100.0)'), (4, '      SelectFile: nation AS n')) t(line, text)"),
+    "explain_nodes": (explain_nodes, "SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS INTEGER), '{x}')" for i, x in enumerate(_NODES)) + ") t(line, text)"),
     "stats_table": (stats_table, "SELECT 'customer' AS relation, unnest(['c_custkey', 'c_nationkey', 'c_mktsegment']) AS attribute, count(*) AS n_rows, unnest([count(DISTINCT c_custkey), count(DISTINCT c_nationkey), count(DISTINCT c_mktsegment)]) AS n_distinct FROM customer"),
     "stats_estimate_join": (stats_estimate_join, "SELECT round(CAST((SELECT count(*) FROM customer) AS DOUBLE) * (SELECT count(*) FROM orders) / greatest((SELECT count(DISTINCT c_custkey) FROM customer), (SELECT count(DISTINCT o_custkey) FROM orders)), 2) AS estimate"),
     "stats_estimate_or": (stats_estimate_or, "SELECT round(count(*) / count(DISTINCT l_returnflag) * (1 - (1 - CAST(1 AS DOUBLE) / 3) * (1 - CAST(1 AS DOUBLE) / count(DISTINCT l_linestatus))), 2) AS estimate FROM lineitem"),

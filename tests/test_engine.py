@@ -1,10 +1,11 @@
 import pytest
 
-from millrace import cli
+from millrace import cli, events
 from millrace.catalog import read_catalog, write_catalog
 from millrace.errors import AmbiguousColumn, CatalogError, ColumnNotFound, InvalidQuery, LoadError, SortColumnsMismatch, TableExists, TableNotFound, TypeMismatch, UnsupportedFileType
 from millrace.operators import relational as ops
 from millrace.session import Engine, Session, compose
+from millrace.sources.files import Files
 from millrace.sources.text import read_delimited, show_rows, write_rows
 from millrace.stats import Statistics
 
@@ -147,6 +148,88 @@ def test_sorted_tables_stay_sorted(spark, engine):
         engine.store.append("s", spark.createDataFrame([(1,)], "k int"))
 
 
+def test_sorted_runs_are_merged_by_size(spark, engine, monkeypatch):
+    engine.execute("CREATE TABLE s (k INTEGER, d DOUBLE, v STRING) AS SORTED ON v, k")
+    runs = lambda: engine.store._about("s")["runs"]
+    want, written = [], 0
+    for i in range(11):
+        rows = [(10 * i + j, j / 2, chr(97 + (i + j) % 7)) for j in range(3)]
+        want += rows
+        engine.store.append("s", spark.createDataFrame(rows, "k long, d double, v string"))
+        assert len(runs()) < 6 and sum(r["n"] for r in runs()) == len(want)
+    got = [tuple(r) for r in engine.store.scan("s").collect()]
+    assert got == sorted(want, key=lambda r: (r[2], r[0]))
+    folders = [f for f in __import__("os").listdir(f"{engine.store.root}/s") if f.startswith("rows-")]
+    assert sorted(folders) == sorted(r["rows"] for r in runs())
+    engine.store.append("s", spark.createDataFrame([], "k long, d double, v string"))
+    assert len(want) == engine.store.scan("s", ordered=False).count()
+    # a lookup opens only runs that may hold the value
+    opened = engine.store.lookup("s", v="c", k=20).inputFiles()
+    assert vals(engine.store.lookup("s", v="c", k=20)) == [r for r in want if r[2] == "c" and r[0] == 20]
+    assert len(opened) <= len(engine.store.scan("s", ordered=False).inputFiles()) and engine.store.lookup("s", v="zz").inputFiles() == []
+
+
+def test_lookup_by_sort_keys_from_sql(spark, engine):
+    engine.execute("CREATE TABLE s (k INTEGER, d DOUBLE, v STRING) AS SORTED ON v, k")
+    engine.store.append("s", spark.createDataFrame([(i, i / 4, "abc"[i % 3]) for i in range(60)], "k long, d double, v string"))
+    plan = lambda where: engine.explain(f"SELECT s.d FROM s AS s WHERE {where}")
+    assert "SortedLookup: s AS s; by v, k;" in plan("(s.k = 4) AND ('b' = v)")
+    assert "SortedLookup: s AS s; by v;" in plan("(s.v = 'b') AND (s.k > 4)")
+    for where in ("(s.k = 4)", "(s.v < 'b')", "(s.v = 'b' OR s.k = 4)", "(s.v = s.v)"):
+        assert "SelectFile" in plan(where)
+    assert vals(engine.sql("SELECT s.d FROM s AS s WHERE (s.k = 4) AND ('b' = s.v)")) == [(1.0,)]
+    assert vals(engine.sql("SELECT s.d FROM s AS s WHERE (s.k = 5) AND (s.v = 'b')")) == []
+    assert vals(engine.sql("SELECT a.k, b.k FROM s AS a, s AS b WHERE (a.v = 'b') AND (a.k = b.k) AND (b.k < 5)")) == [(1, 1), (4, 4)]
+    engine.execute("CREATE TABLE e (d DOUBLE) AS SORTED ON d")
+    engine.store.append("e", spark.createDataFrame([(1.5,), (2.0,)], "d double"))
+    assert vals(engine.sql("SELECT e.d FROM e AS e WHERE (e.d = 2)")) == [(2.0,)] and vals(engine.sql("SELECT e.d FROM e AS e WHERE (e.d = 1.5)")) == [(1.5,)]
+
+
+def test_ints_are_64_bits_wide(spark, engine, tmp_path):
+    (tmp_path / "big.tbl").write_text("3000000000|x|\n-9000000000000|y|\n")
+    engine.execute("CREATE TABLE big (k INTEGER, v STRING) AS SORTED ON k")
+    engine.execute(f"INSERT '{tmp_path}/big.tbl' INTO big")
+    assert vals(engine.sql("SELECT big.k FROM big AS big WHERE (big.k > 2999999999)")) == [(3000000000,)]
+    assert engine.store.entry("big").columns[0] == ("k", "Int")
+
+
+def test_conjuncts_over_tables_filter_each_scan(spark, engine):
+    plan = engine.explain("SELECT t.n FROM t AS t, u AS u WHERE (t.g = u.g) AND (t.g < 'b' OR u.g = 'z')")
+    assert "SelectFile: t AS t; (t.g < 'b' OR t.g = 'z')" in plan and "SelectFile: u AS u; (u.g < 'b' OR u.g = 'z')" in plan
+    assert vals(engine.sql("SELECT t.n FROM t AS t, u AS u WHERE (t.g = u.g) AND (t.g < 'b' OR u.g = 'z')")) == [(1,), (2,)]
+    assert "SelectFile: u AS u\n" in engine.explain("SELECT t.n FROM t AS t, u AS u WHERE (t.g = u.g) AND (t.n < 2 OR u.m > 15)") + "\n"
+
+
+def test_small_tables_join_first(spark, sf):
+    e = Engine(spark).view_parquet(sf("sf0.001"), ["lineitem", "orders", "customer"])
+    plan = e.explain("SELECT c.c_name FROM lineitem AS l, orders AS o, customer AS c WHERE (l.l_orderkey = o.o_orderkey) AND (o.o_custkey = c.c_custkey)")
+    assert plan.index("SelectFile: customer") < plan.index("SelectFile: lineitem") and plan.index("SelectFile: orders") < plan.index("SelectFile: lineitem")
+
+
+def test_events(spark, engine, tmp_path):
+    handler = events.to_file(str(tmp_path / "errorlog.txt"))
+    try:
+        engine.execute("CREATE TABLE ev (a INTEGER) AS HEAP")
+        with pytest.raises(TableNotFound):
+            engine.execute("DROP TABLE nowhere")
+    finally:
+        events.log.removeHandler(handler)
+        handler.close()
+    text = (tmp_path / "errorlog.txt").read_text()
+    assert "INFO statement: CREATE TABLE ev (a INTEGER) AS HEAP" in text and "INFO table ev created as heap" in text and "ERROR TableNotFound: nowhere" in text
+
+
+def test_small_files_survive_a_crash(spark, tmp_path):
+    files, path = Files(spark), str(tmp_path / "about")
+    assert files.current(path) is None
+    files.replace(path, "one")
+    files.replace(path, "two")
+    assert files.current(path) == "two" and not files.exists(f"{path}.new")
+    files.write(f"{path}.new", "three")
+    files.delete(path)  # as a process that died before it renamed the new file leaves it
+    assert files.current(path) == "three"
+
+
 def test_delimited_text(spark, tmp_path, engine):
     (tmp_path / "t.tbl").write_text("x|1|2.5|\n|-3||\né|7|1e2|\n")
     engine.execute("CREATE TABLE t2 (s STRING, i INTEGER, d DOUBLE) AS HEAP")
@@ -180,10 +263,11 @@ def test_output(spark, engine, tmp_path, capsys):
 
 
 def test_command_line(spark, tmp_path, capsys):
-    statements = ["CREATE TABLE t (a INTEGER) AS HEAP\n", "\n", "SELECT t.a\n", "FROM t AS t\n", "\n", "DROP TABLE u\n"]
+    (tmp_path / "bad.tbl").write_text("1|\nx|\n")
+    statements = ["CREATE TABLE t (a INTEGER) AS HEAP\n", "\n", f"INSERT '{tmp_path}/bad.tbl' INTO t\n", "\n", "SELECT t.a\n", "FROM t AS t\n", "\n", "DROP TABLE u\n"]
     assert cli.main(str(tmp_path), statements) == 1
     out = capsys.readouterr()
-    assert "0 rows" in out.out and "TableNotFound" in out.err
+    assert "0 rows" in out.out and "TableNotFound" in out.err and "CAST_INVALID_INPUT" in out.err
 
 
 def test_catalog_text():
