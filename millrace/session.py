@@ -51,6 +51,7 @@ class Engine:
         self.spark, self.statistics, self.strict, self.lenient = spark, statistics, strict_types, lenient_load
         self.store = TableStore(spark, root) if root else None
         self.views: dict[str, DataFrame] = {}
+        self.files: dict[str, str] = {}
         self.session_file = session_file
         kept = Files(spark).current(session_file) if session_file else None
         self.session = Session() if kept is None else Session.loads(kept)
@@ -60,11 +61,15 @@ class Engine:
         self.views[name] = df
 
     def view_parquet(self, folder: str, names: Iterable[str]) -> Engine:
+        """Make Parquet files tables of this engine; a file is opened when a query first names it."""
         for n in names:
-            self.view(n, self.spark.read.parquet(f"{folder}/{n}.parquet"))
+            self.views.pop(n, None)
+            self.files[n] = f"{folder}/{n}.parquet"
         return self
 
     def table(self, name: str) -> DataFrame:
+        if name not in self.views and name in self.files:
+            self.views[name] = self.spark.read.parquet(self.files[name])
         if name in self.views:
             return self.views[name]
         if self.store:
@@ -73,7 +78,7 @@ class Engine:
 
     def _planned(self, q: Select) -> tuple[DataFrame, Node]:
         names = {name for name, _ in q.tables}
-        keys = {n: self.store.sort_keys(n) for n in names if n not in self.views} if self.store else {}
+        keys = {n: self.store.sort_keys(n) for n in names if n not in self.views and n not in self.files} if self.store else {}
         return plan(q, {n: self.table(n) for n in names}, self.statistics, self.strict, keys, self.store.lookup if self.store else None)
 
     def _select(self, text: str) -> Select:
