@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -29,8 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="millrace-")
-    sc.setCheckpointDir(named)
-    return sc._jsc.sc().getCheckpointDir().get()
+    sc.setCheckpointDir(named)  # a new folder below it, for this application alone
+    made = sc._jsc.sc().getCheckpointDir().get()
+    _made_here(spark, made)
+    return made
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -42,12 +45,17 @@ def cut(df: DataFrame) -> DataFrame:
 _MADE: list[tuple] = []
 
 
-def new_path(spark: SparkSession, what: str) -> str:
-    """A new folder's name in the shared folder; what is in it goes when the driver's process ends."""
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+def _made_here(spark: SparkSession, path: str) -> None:
+    """What is in that folder goes when the driver's process ends."""
     if not _MADE:
         atexit.register(_clear)
     _MADE.append((spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path))
+
+
+def new_path(spark: SparkSession, what: str) -> str:
+    """A new folder's name in the shared folder; what is in it goes when the driver's process ends."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _made_here(spark, path)
     return path
 
 
@@ -58,15 +66,31 @@ def _clear() -> None:
             at.getFileSystem(conf).delete(at, True)
 
 
+_LOCK, _WRITING = threading.Lock(), []
+
+
+@contextlib.contextmanager
+def _cleaning(spark: SparkSession):
+    """Shuffle files go with the query that made them, as long as any thread is inside; then the session's setting is as it was."""
+    with _LOCK:
+        if not _WRITING:
+            _WRITING.append(spark.conf.get(CLEANUP))
+            spark.conf.set(CLEANUP, "true")
+        _WRITING.append(None)
+    try:
+        yield
+    finally:
+        with _LOCK:
+            _WRITING.pop()
+            if len(_WRITING) == 1:
+                spark.conf.set(CLEANUP, _WRITING.pop())
+
+
 def stash(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: for wide rows, of which later steps read some columns."""
-    path, conf = new_path(df.sparkSession, what), df.sparkSession.conf
-    before = conf.get(CLEANUP)
-    conf.set(CLEANUP, "true")  # once the rows are written, nothing needs the shuffle files that led to them
-    try:
+    path = new_path(df.sparkSession, what)
+    with _cleaning(df.sparkSession):  # once the rows are written, nothing needs the shuffle files that led to them
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -68,6 +68,12 @@ def test_lists_are_worked_off_without_lucky_pivots(docs, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == plain(rows)
 
 
+def test_any_share_of_the_sketch_gives_the_same_links(docs):
+    rows = corpus()
+    got = near_documents(docs(rows), least_share=0.0).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == plain(rows)
+
+
 def test_copies_inside_texts_beyond_the_sketch(docs):
     """A sketch of 128 holds the smaller set whole, or nearly, and misses a quarter of the larger one."""
     rows = []
