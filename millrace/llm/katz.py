@@ -354,6 +354,11 @@ def _tells(rows: list[tuple]) -> pa.Table:
     return pa.table({name: pa.array([r[i] for r in rows], kind) for i, (name, kind) in enumerate(kinds)})
 
 
+def _dealt(df: DataFrame, key: str, groups: int) -> DataFrame:
+    """Rows by key over twice as many partitions as there are keys, so that a task meets one or few, however many there are in all."""
+    return df.repartition(max(1, 2 * groups), key)
+
+
 def _exchange(asks: DataFrame, plan: Plan, level: int, last: bool, step: int = 1) -> DataFrame:
     """What the buckets answer to the senders of ``asks``; rows with a tally have counts of counts.
 
@@ -371,15 +376,16 @@ def _exchange(asks: DataFrame, plan: Plan, level: int, last: bool, step: int = 1
             out = [(level, to, key[0].as_py(), r, None) for to, r in zip(rows.column("sender").to_pylist(), merged.replies(*found, last), strict=True)]
             return _tells([*out, (level, None, key[0].as_py(), None, tally)])
 
-        return stash(asks.groupBy("node").applyInArrow(answer, _TELL), f"lm-level{level + 1}")
+        return stash(_dealt(asks, "node", plan.buckets).groupBy("node").applyInArrow(answer, _TELL), f"lm-level{level + 1}")
     held = stash(asks, "lm-asks")
+    nodes = -(-plan.batches // plan.fan**step) * plan.fan**step
 
     def forward(key, rows):
         merged, node = Merged(rows.column("raw").to_pylist(), level), key[0].as_py()
         to, low = plan.above(node, step)
         return _asks([(to + j, node, merged.block(grams, heads)) for j, grams, heads in merged.parts(plan, low, plan.fan ** (plan.depth - step - 1))])
 
-    told = _exchange(held.groupBy("node").applyInArrow(forward, _ASK), plan, level, last, step + 1)
+    told = _exchange(_dealt(held, "node", nodes).groupBy("node").applyInArrow(forward, _ASK), plan, level, last, step + 1)
 
     def back(key, rows, answers):
         if not rows.num_rows:
@@ -390,14 +396,14 @@ def _exchange(asks: DataFrame, plan: Plan, level: int, last: bool, step: int = 1
         found = merged.told(parts, {s % plan.fan: r for s, r in zip(answers.column("sender").to_pylist(), answers.column("raw").to_pylist(), strict=True)})
         return _tells([(level, to, node, r, None) for to, r in zip(rows.column("sender").to_pylist(), merged.replies(*found, last), strict=True)])
 
-    passed = held.groupBy("node").cogroup(told.where("tally IS NULL").groupBy("node")).applyInArrow(back, _TELL)
+    passed = _dealt(held, "node", nodes).groupBy("node").cogroup(_dealt(told.where("tally IS NULL"), "node", nodes).groupBy("node")).applyInArrow(back, _TELL)
     return stash(passed.unionByName(told.where("tally IS NOT NULL")), "lm-passed")
 
 
 def katz(documents: DataFrame, order: int = 2, bucket_tokens: int = 2_000_000, most_fan: int = FAN) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mean_score) of every document.
 
-    A document's tokens are its words and END; START stands before them and is not counted.
+    ``mean_score`` is the score a token. A document's tokens are its words and END; START stands before them and is not counted.
     The model learns from documents whose crc32(doc_id as text) mod 7 is not 2. At level 1 the
     events are the words learnt and one for all others, which gets what discounts leave. At
     level m, an n-gram seen r times after a context of m - 1 tokens has d_r r / (tokens seen
@@ -448,7 +454,8 @@ def katz(documents: DataFrame, order: int = 2, bucket_tokens: int = 2_000_000, m
         return ask
 
     def with_replies():
-        return batches.select("batch", "raw").groupBy("batch").cogroup(replies.where("tally IS NULL").select(F.col("node").alias("batch"), "level", "sender", "raw").groupBy("batch"))
+        told = replies.where("tally IS NULL").select(F.col("node").alias("batch"), "level", "sender", "raw")
+        return _dealt(batches.select("batch", "raw"), "batch", number).groupBy("batch").cogroup(_dealt(told, "batch", number).groupBy("batch"))
 
     for level in range(order):
         asks = with_replies().applyInArrow(later(level), _ASK) if level else batches.select("batch", "raw").mapInArrow(first, _ASK)
@@ -458,16 +465,16 @@ def katz(documents: DataFrame, order: int = 2, bucket_tokens: int = 2_000_000, m
     learnt, kinds = int(plan.levels[0][-1]), int(plan.levels[0][-2])
 
     def score(key, left, right):
-        names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+        names = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "mean_score")
         if not left.num_rows:
-            return pa.table({n: pa.array([], k) for n, k in zip(names, (pa.int64(), pa.bool_(), *[pa.int64()] * 3, pa.float64(), pa.float64()), strict=True)})
+            return pa.table({n: pa.array([], k) for n, k in zip(names, (pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 3), strict=True)})
         b = _upto(left.column("raw")[0].as_py(), plan, right, order - 1)
         at = np.cumsum(b.length) - b.length
         add = lambda x: np.add.reduceat(x, at)  # noqa: E731  every document has a token
-        base = add(np.log10((b.c + 1) / (learnt + 1 * (kinds + 1))))
-        return pa.table([pa.array(b.id, mask=b.null), pa.array(~b.learn), pa.array(b.length), pa.array(add((b.c > 0).astype("i8"))), pa.array(np.full(len(at), learnt)), pa.array(base), pa.array(add(np.log10(b.p)))], list(names))
+        base, found = add(np.log10((b.c + 1) / (learnt + 1 * (kinds + 1)))), add(np.log10(b.p))
+        return pa.table([pa.array(b.id, mask=b.null), pa.array(~b.learn), pa.array(b.length), pa.array(add((b.c > 0).astype("i8"))), pa.array(np.full(len(at), learnt)), pa.array(base), pa.array(found), pa.array(found / b.length)], list(names))
 
-    return with_replies().applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return with_replies().applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, mean_score double")
 
 
 def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

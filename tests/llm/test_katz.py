@@ -70,7 +70,7 @@ def check(got, want):
     got, want = sorted(map(tuple, got), key=key), sorted(want, key=key)
     assert len(got) == len(want)
     for a, b in zip(got, want, strict=True):
-        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-9) and a[6] == pytest.approx(b[6], rel=1e-9, abs=1e-9)
+        assert a[7] == pytest.approx(a[6] / a[2]) and a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-9) and a[6] == pytest.approx(b[6], rel=1e-9, abs=1e-9)
 
 
 @pytest.mark.parametrize("order, tokens", [(1, 4_000_000), (2, 4_000_000), (2, 9000), (3, 9000)])
