@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import logging
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -11,12 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .errors import EstimateError, MillraceError, UnsupportedFileType
+from .events import log
 from .operators import relational as ops
-from .session import Engine
+from .session import Engine, compose
 from .sources.files import Files
 from .sources.store import TableStore
 from .sources.text import write_rows
-from .stats import Statistics
+from .stats import Statistics, tpch_statistics
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 DAY = "strftime({}, '%Y-%m-%d')"
@@ -210,6 +213,112 @@ def stats_estimate_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(round(s.estimate("(l_returnflag = 'R') AND (l_discount < 0.04 OR l_linestatus = 'F')", ["lineitem"]), 2),)], "estimate double")
 
 
+#: Steps on the statistics of scale factor 1: relations under further names, joins taken as done, and the join to estimate.
+ESTIMATES = {
+    "join": ("", (), "(s_suppkey = ps_suppkey)", "supplier partsupp"),
+    "join_then_filter": ("", (("(s_suppkey = ps_suppkey)", "supplier partsupp"),), "(s_suppkey > 1000)", "supplier partsupp"),
+    "alternatives": ("", (), "(l_returnflag = 'R') AND (l_discount < 0.04 OR l_shipmode = 'MAIL')", "lineitem"),
+    "three": ("", (("(c_custkey = o_custkey)", "orders customer"),), "(c_nationkey = n_nationkey)", "orders customer nation"),
+    "copies": ("nation n1, nation n2, supplier s, customer c", (("(s.s_nationkey = n1.n_nationkey)", "s n1"), ("(c.c_nationkey = n2.n_nationkey)", "c n2")), "(n1.n_nationkey = n2.n_nationkey)", "c s n1 n2"),
+    "five": ("part p, partsupp ps, supplier s, nation n, region r", (("(p.p_partkey=ps.ps_partkey) AND (p.p_size = 2)", "p ps"), ("(s.s_suppkey = ps.ps_suppkey)", "p ps s"), ("(s.s_nationkey = n.n_nationkey)", "p ps s n")), "(n.n_regionkey = r.r_regionkey) AND (r.r_name = 'AMERICA')", "p ps s n r"),
+    "name": ("", (("(s_suppkey = ps_suppkey)", "partsupp supplier"),), "(s_nationkey = n_nationkey) AND (n_name = 'AMERICA')", "partsupp supplier nation"),
+    "one_column": ("", (), "(p_partkey=ps_partkey) AND (p_size =3 OR p_size=6 OR p_size =19)", "part partsupp"),
+    "inequality": ("", (), "(l_receiptdate >'1995-02-01' ) AND (l_orderkey = o_orderkey)", "orders lineitem"),
+    "many_conjuncts": ("", (), "(l_partkey = p_partkey) AND (l_shipmode = 'AIR' OR l_shipmode = 'AIR REG') AND (p_container ='SM BOX' OR p_container = 'SM PACK')  AND (l_shipinstruct = 'DELIVER IN PERSON')", "part lineitem"),
+}
+#: What the estimator must say of these.
+ESTIMATED = {"join": 800000, "join_then_filter": 266666.67, "alternatives": 857316.43, "three": 1500000, "copies": 60000000, "five": 3200, "name": 32000, "one_column": 48000, "inequality": 2000405, "many_conjuncts": 21432.91}
+
+
+def stats_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimates on the known cardinalities, after copies and applied joins, and the same after their text has been read back."""
+    rows = []
+    for name, (copies, applied, cnf, relations) in ESTIMATES.items():
+        s = tpch_statistics()
+        for pair in copies.split(", ") if copies else []:
+            s.copy_rel(*pair.split())
+        again = Statistics.loads(s.copy().dumps())
+        for done, some in applied:
+            s.apply(done, some.split())
+            again.apply(done, some.split())
+        rows.append((name, round(s.estimate(cnf, relations.split()), 2), round(again.estimate(cnf, relations.split()), 2)))
+    return spark.createDataFrame(rows, "name string, estimate double, read_back double")
+
+
+def screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What statements say on the screen: rows, a sum, how many there were, and nothing but plans when output is off."""
+    e, said = engine(spark, sf_dir), []
+    for text in ("SELECT r.r_regionkey, r.r_name FROM region AS r WHERE (r.r_regionkey = 2)", "SELECT SUM (n.n_nationkey) FROM nation AS n", "SET OUTPUT NONE", "SELECT n.n_name FROM nation AS n", "SET OUTPUT STDOUT", "SELECT n.n_name FROM nation AS n WHERE (n.n_nationkey > 99)"):
+        e.execute(text, said.append)
+    return spark.createDataFrame(list(enumerate(line for x in said for line in x.splitlines())), "line int, text string")
+
+
+def session_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where rows go, as a later engine finds it."""
+    path, rows = f"{_folder(spark)}/session", []
+    for text in ("SET OUTPUT NONE", "SET OUTPUT 'file'", "SET OUTPUT STDOUT"):
+        Engine(spark, session_file=path).execute(text)
+        s = Engine(spark, session_file=path).session
+        rows.append((text.replace("'", ""), s.output, s.execute))
+    return spark.createDataFrame(rows, "statement string, output string, runs boolean")
+
+
+def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with statements, by class of error, and whether the log of events has each."""
+    e, rows, kept = engine(spark, sf_dir), [], []
+    e.store = TableStore(spark, _folder(spark))
+    e.execute("CREATE TABLE t (a INTEGER) AS HEAP")
+    handler = logging.Handler()
+    handler.emit = lambda record: kept.append(record.getMessage())
+    log.addHandler(handler)
+    try:
+        for text in REFUSED:
+            try:
+                e.execute(text, lambda x: None)
+                rows.append((text, "none", False))
+            except MillraceError as error:
+                rows.append((text, type(error).__name__, bool(kept) and kept[-1].startswith(type(error).__name__)))
+    finally:
+        log.removeHandler(handler)
+    for cnf, names in (("(r_name = n_name)", ["region"]), ("(nowhere = 1)", ["region"]), ("(r_name = 1)", ["nowhere"])):
+        try:
+            tpch_statistics().estimate(cnf, names)
+            rows.append((cnf, "none", False))
+        except EstimateError as error:
+            rows.append((cnf, type(error).__name__, False))
+    return spark.createDataFrame(rows, "statement string, error string, logged boolean")
+
+
+REFUSED = {
+    "CREATE TABLE t (a INTEGER) AS HEAP": "TableExists", "CREATE TABLE u (a INTEGER) AS SORTED ON b": "SortColumnsMismatch", "DROP TABLE u": "TableNotFound", "INSERT nowhere INTO t": "QuerySyntaxError",
+    "SELECT x.a FROM u AS x": "TableNotFound", "SELECT t.b FROM t AS t": "ColumnNotFound", "SELECT r_name FROM region AS a, region AS b": "AmbiguousColumn", "SELECT t.a FROM t AS t WHERE (t.a < = 1)": "QuerySyntaxError",
+    "SELECT t.a FROM t AS t GROUP BY t.a": "InvalidQuery", "SELECT SUM (r.r_name) FROM region AS r": "TypeMismatch",
+}
+_REFUSED_CNF = ("(r_name = n_name)", "(nowhere = 1)", "(r_name = 1)")
+
+
+def composed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows from text in memory: each nation written as a line and read again."""
+    lines = [r[0] for r in _nation(spark, sf_dir).select(F.concat(*(F.concat(F.col(c).cast("string"), F.lit("|")) for c, _ in NATION))).collect()]  # 25 lines
+    return compose(spark, lines, NATION)
+
+
+def table_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heaps and sorted tables behind one interface, and the kind that is only declared."""
+    store, rows = TableStore(spark, _folder(spark)), []
+    for name, kind, keys in (("h", "heap", None), ("s", "sorted", ["v", "k"]), ("x", "tree", ["k"])):
+        try:
+            store.create(name, [("k", "Int"), ("v", "String")], kind, keys)
+        except UnsupportedFileType as error:
+            rows.append((name, type(error).__name__, "", 0))
+            continue
+        for _ in range(2):
+            store.append(name, spark.createDataFrame([(3, "a"), (1, "b")], "k long, v string"))
+        again = TableStore(spark, store.root)
+        rows.append((name, again.kind(name), " ".join(again.sort_keys(name)), again.scan(name).count()))
+    return spark.createDataFrame(rows, "name string, kind string, sort_keys string, n_rows long")
+
+
 def cost_ordered_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A join of five tables in the order that measured statistics give."""
     e = engine(spark, sf_dir)
@@ -278,6 +387,21 @@ OTHERS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "writeout_format": (writeout_format, "SELECT printf('s_suppkey: [%d], s_name: [%s], s_acctbal: [%.6f]', s_suppkey, s_name, s_acctbal) AS line FROM supplier"),
     "explain_plan": (explain_plan, "SELECT * FROM (VALUES (CAST(0 AS INTEGER), 'Project: sum, n.n_name'), (1, '  GroupBy: SUM s.s_acctbal; by n.n_name'), (2, '    Join: (s.s_nationkey = n.n_nationkey)'), (3, '      SelectFile: supplier AS s; (s.s_acctbal > 100.0)'), (4, '      SelectFile: nation AS n')) t(line, text)"),
     "explain_nodes": (explain_nodes, "SELECT * FROM (VALUES " + ", ".join(f"(CAST({i} AS INTEGER), '{x}')" for i, x in enumerate(_NODES)) + ") t(line, text)"),
+    "stats_known": (stats_known, "SELECT name, CAST(estimate AS DOUBLE) AS estimate, CAST(estimate AS DOUBLE) AS read_back FROM (VALUES " + ", ".join(f"('{n}', {x})" for n, x in ESTIMATED.items()) + ") t(name, estimate)"),
+    "screen": (screen, """
+WITH x AS (
+  SELECT 0 AS step, 0 AS pos, 'Project: r.r_regionkey, r.r_name' AS text UNION ALL SELECT 0, 1, '  SelectFile: region AS r; (r.r_regionkey = 2)'
+  UNION ALL SELECT 1, 0, printf('r_regionkey: [%d], r_name: [%s]', r_regionkey, r_name) FROM region WHERE r_regionkey = 2
+  UNION ALL SELECT 2, 0, printf('%d rows', count(*)) FROM region WHERE r_regionkey = 2
+  UNION ALL SELECT 3, 0, 'Sum: SUM n.n_nationkey' UNION ALL SELECT 3, 1, '  SelectFile: nation AS n'
+  UNION ALL SELECT 4, 0, printf('sum: [%d]', CAST(sum(n_nationkey) AS BIGINT)) FROM nation UNION ALL SELECT 5, 0, '1 rows'
+  UNION ALL SELECT 6, 0, 'Project: n.n_name' UNION ALL SELECT 6, 1, '  SelectFile: nation AS n'
+  UNION ALL SELECT 7, 0, 'Project: n.n_name' UNION ALL SELECT 7, 1, '  SelectFile: nation AS n; (n.n_nationkey > 99)' UNION ALL SELECT 8, 0, '0 rows'
+) SELECT CAST(row_number() OVER (ORDER BY step, pos) - 1 AS INTEGER) AS line, text FROM x"""),
+    "session_kept": (session_kept, "SELECT * FROM (VALUES ('SET OUTPUT NONE', 'none', false), ('SET OUTPUT file', 'file', true), ('SET OUTPUT STDOUT', 'stdout', true)) t(statement, output, runs)"),
+    "refusals": (refusals, "SELECT * FROM (VALUES " + ", ".join([f"('{x}', '{y}', true)" for x, y in REFUSED.items()] + [f"('{x}', 'EstimateError', false)" for x in _REFUSED_CNF]) + ") t(statement, error, logged)"),
+    "composed": (composed, _NATION_SQL),
+    "table_kinds": (table_kinds, "SELECT * FROM (VALUES ('h', 'heap', '', CAST(4 AS BIGINT)), ('s', 'sorted', 'v k', 4), ('x', 'UnsupportedFileType', '', 0)) t(name, kind, sort_keys, n_rows)"),
     "stats_table": (stats_table, "SELECT 'customer' AS relation, unnest(['c_custkey', 'c_nationkey', 'c_mktsegment']) AS attribute, count(*) AS n_rows, unnest([count(DISTINCT c_custkey), count(DISTINCT c_nationkey), count(DISTINCT c_mktsegment)]) AS n_distinct FROM customer"),
     "stats_estimate_join": (stats_estimate_join, "SELECT round(CAST((SELECT count(*) FROM customer) AS DOUBLE) * (SELECT count(*) FROM orders) / greatest((SELECT count(DISTINCT c_custkey) FROM customer), (SELECT count(DISTINCT o_custkey) FROM orders)), 2) AS estimate"),
     "stats_estimate_or": (stats_estimate_or, "SELECT round(count(*) / count(DISTINCT l_returnflag) * (1 - (1 - CAST(1 AS DOUBLE) / 3) * (1 - CAST(1 AS DOUBLE) / count(DISTINCT l_linestatus))), 2) AS estimate FROM lineitem"),
