@@ -36,10 +36,22 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` held in the shared folder; its lineage ends there, and losing an executor loses none of it."""
+def files_for(spark: SparkSession, rows: int, each: int = 500_000) -> int:
+    """How many files are enough for a table of so many rows: one for ``each`` of them, and two a core at least.
+
+    A file costs more than its rows where these are few: without Hadoop's native library, Spark
+    starts six processes for each Parquet file in a local folder and four for each of a checkpoint.
+    """
+    return max(2 * spark.sparkContext.defaultParallelism, -(-rows // each))
+
+
+def cut(df: DataFrame, files: int | None = None) -> DataFrame:
+    """``df`` held in the shared folder; its lineage ends there, and losing an executor loses none of it.
+
+    Where there are more partitions than ``files``, a task writes several of them to one file.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df.coalesce(files) if files else df).checkpoint(eager=True)
 
 
 _MADE: list[tuple] = []
@@ -86,11 +98,14 @@ def _cleaning(spark: SparkSession):
                 spark.conf.set(CLEANUP, _WRITING.pop())
 
 
-def stash(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again: for wide rows, of which later steps read some columns."""
+def stash(df: DataFrame, what: str, files: int | None = None) -> DataFrame:
+    """``df`` written as Parquet in the shared folder and read again: for wide rows, of which later steps read some columns.
+
+    ``files`` is as for ``cut``.
+    """
     path = new_path(df.sparkSession, what)
     with _cleaning(df.sparkSession):  # once the rows are written, nothing needs the shuffle files that led to them
-        df.write.option("compression", "zstd").parquet(path)
+        (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, rounds: int = 60, files: int | None = None) -> DataFrame:
     """(node, component) for every node of ``links`` (columns u, v: long); a component is named by its smallest node.
 
     Each round makes every node point to the smallest node it knows of, first for the
     larger neighbours, then for the smaller ones. Minima are gathered before rows are
     shuffled, and a hub's links meet its minimum in a plain sort-merge join, which
     adaptive execution can split. Only two numbers a round reach the driver.
-    Loops and nulls are left out; repeated links count once.
+    Loops and nulls are left out; repeated links count once. ``files`` bounds the files that a
+    round writes, as for ``cut``.
     """
-    e = cut(links.where("u <> v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).distinct())
+    e = cut(links.where("u <> v").select(F.greatest("u", "v").cast("long").alias("u"), F.least("u", "v").cast("long").alias("v")).distinct(), files)
     seen = None
     for _ in range(rounds):
         mark = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
@@ -29,7 +30,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        e = cut(small.select("u", F.col("m").alias("v")).union(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct())
+        e = cut(small.select("u", F.col("m").alias("v")).union(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct(), files)
     else:
         raise RuntimeError(f"components still change after {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())

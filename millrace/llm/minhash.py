@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, mixed, stash, table
+from .common import cut, files_for, mixed, stash, table
 from .components import components
 
 WORDS = 5
@@ -134,10 +134,10 @@ def _test(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, least_share:
 _PLACE = f"pmod(xxhash64(CAST(doc_id AS BIGINT)), {BITS})"
 
 
-def bitmap(ids: DataFrame) -> DataFrame:
+def bitmap(ids: DataFrame, files: int | None = None) -> DataFrame:
     """A set of doc_ids as bits of their hashes, in words of 64: BITS / 64 rows at most, however many ids."""
     words = ids.where("doc_id IS NOT NULL").groupBy(F.expr(f"{_PLACE} div 64").alias("_millrace_word")).agg(F.expr(f"bit_or(shiftleft(1L, CAST({_PLACE} % 64 AS INT)))").alias("_millrace_bits"))
-    return F.broadcast(cut(words))
+    return F.broadcast(cut(words, files))
 
 
 def marked(df: DataFrame, bits: DataFrame) -> DataFrame:
@@ -179,14 +179,16 @@ def near_documents(documents: DataFrame, pivots: int = 1, least_share: float = L
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = stash(rows.mapInArrow(lambda batches: _sketches(batches, least_share), "doc_id long, n long, whole binary, low array<long>, need int"), "sketches")
     able = sketched.where("n > 0 AND doc_id IS NOT NULL")
-    folds = stash(able.groupBy("whole").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies")).where("copies > 1").select("whole", "head"), "near")
+    # most tables from here on have a few rows for each shingle at most: their files follow that, not the number of partitions
+    files = files_for(sketched.sparkSession, sketched.agg(F.sum(F.col("n") + 1)).first()[0] or 0)
+    folds = stash(able.groupBy("whole").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies")).where("copies > 1").select("whole", "head"), "near", files)
     heads = able.join(folds.withColumnRenamed("head", "fold"), "whole", "left").where("fold IS NULL OR fold = doc_id").select("doc_id", "n", "low", "need")
     again = not able.groupBy("doc_id").count().where("count > 1").isEmpty()  # ids that repeat need more work
     once = lambda df: df.dropDuplicates(["doc_id"]) if again else df
-    heads = stash(once(heads), "heads")
+    heads = stash(once(heads), "heads", files)
 
     posts = heads.select("doc_id", "need", "n", F.explode("low").alias("v"))
-    often = stash(posts.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "near")
+    often = stash(posts.groupBy("v").agg(F.count("*").alias("df")).where("df > 1"), "near", files)
     own = Window.partitionBy("doc_id")
     shared = posts.join(often, "v").withColumn("c", F.count("*").over(own)).where("c >= need").withColumn("mid", F.sum(F.log("df")).over(own))
     shared = shared.withColumn("r", F.row_number().over(own.orderBy("df", "v"))).where("r <= c - need + 1")
@@ -195,13 +197,13 @@ def near_documents(documents: DataFrame, pivots: int = 1, least_share: float = L
     spread = F.sqrt(F.col("c") * (K - F.col("c")) / K * (F.col("n") - K) / (F.col("n") - 1))
     most = F.when(F.col("n") <= K, F.col("c")).otherwise(F.least("n", F.ceil(F.col("n") * (F.col("c") + 4.5 * spread + 1) / K)))
     size = F.floor(F.log(F.col("n")) / math.log(CLASS)).cast("int")
-    lists = stash(shared.select("v", "doc_id", "n", "mid", most.alias("u"), size.alias("size")), "lists")
+    lists = stash(shared.select("v", "doc_id", "n", "mid", most.alias("u"), size.alias("size")), "lists", files)
 
     # candidates by a bitmap of fixed size; where it fills up, it only saves less
-    bits = bitmap(lists.select("doc_id"))
+    bits = bitmap(lists.select("doc_id"), files)
     asked = lambda df: marked(df, bits).where("_millrace_hit = 1").drop("_millrace_hit")
-    sketches = stash(asked(heads).select("doc_id", "n", "low"), "asked-sketches")
-    texts = stash(once(asked(rows)), "asked-texts")
+    sketches = stash(asked(heads).select("doc_id", "n", "low"), "asked-sketches", files)
+    texts = stash(once(asked(rows)), "asked-texts", files)
 
     parts = None
 
@@ -212,30 +214,30 @@ def near_documents(documents: DataFrame, pivots: int = 1, least_share: float = L
 
     def settle(pairs: DataFrame) -> None:
         nonlocal parts
-        found = stash(_test(pairs, sketches, texts, least_share), "near")
+        found = stash(_test(pairs, sketches, texts, least_share), "near", files)
         if not found.isEmpty():
             fresh = found if parts is None else parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found)
-            parts = components(fresh.select(F.col("a").alias("u"), F.col("b").alias("v")))
+            parts = components(fresh.select(F.col("a").alias("u"), F.col("b").alias("v")), files=files)
 
     may = "7 * least(u, u_b) >= 3 * (n + n_b) AND 4 * least(n, n_b) >= 3 * greatest(n, n_b)"  # whether two sizes allow a link
     if pivots:
         # the most central document of a list: its values are the most common
         pivot = lists.groupBy("v", "size").agg(F.max_by(F.struct(F.col("doc_id").alias("b"), F.col("n").alias("n_b"), F.col("u").alias("u_b")), F.struct("mid", "doc_id")).alias("p"), F.count("*").alias("m"))
-        pivot = stash(pivot.where("m > 1").select("v", "size", "p.*"), "near")
+        pivot = stash(pivot.where("m > 1").select("v", "size", "p.*"), "near", files)
         met = lists.join(pivot, ["v", "size"]).where(f"doc_id <> b AND {may}").groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("w"))
-        ranked = stash(met.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("w"), "b"))), "near")
+        ranked = stash(met.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("w"), "b"))), "near", files)
         settle(ranked.where("r = 1").select("a", "b"))
         settle(label(label(ranked.where("r > 1"), "a"), "b").where("part_a <> part_b").select("a", "b"))
     # what is left: lists with several components. Of their documents, the most in common with any other is counted on whole sets.
-    member = stash(label(lists.select("v", F.col("doc_id").alias("a"), "n"), "a"), "near")
+    member = stash(label(lists.select("v", F.col("doc_id").alias("a"), "n"), "a"), "near", files)
     open_ = member.groupBy("v").agg(F.min("part_a").alias("x"), F.max("part_a").alias("y")).where("x < y").select("v")
-    member = stash(member.join(stash(open_, "near"), "v"), "near")
-    left = stash(member.select(F.col("a").alias("doc_id")).distinct(), "near")
+    member = stash(member.join(stash(open_, "near", files), "v"), "near", files)
+    left = stash(member.select(F.col("a").alias("doc_id")).distinct(), "near", files)
     whole = texts.join(left, "doc_id").mapInArrow(_spell, "a long, s long")
-    common = whole.join(stash(whole.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "near"), "s")
+    common = whole.join(stash(whole.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"), "near", files), "s")
     mine = Window.partitionBy("a")
     common = common.withColumn("u", F.count("*").over(mine)).withColumn("mid", F.sum(F.log("df")).over(mine)).withColumn("r", F.row_number().over(mine.orderBy("df", "s")))
-    common = common.join(stash(member.select("a", "n", "part_a").distinct(), "near"), "a").where("7 * u >= 3 * (n + ceil(0.75 * n))").withColumnRenamed("s", "v")
+    common = common.join(stash(member.select("a", "n", "part_a").distinct(), "near", files), "a").where("7 * u >= 3 * (n + ceil(0.75 * n))").withColumnRenamed("s", "v")
     # of a pair, the larger document looks in the size classes of what it may be linked with; each brings the rarest of its
     # values, as many as must hold one that both have: the smaller shares 6/7 of its set at least, the larger what the class asks for
     class_of = lambda n: F.floor(F.log(n) / math.log(CLASS)).cast("int")
@@ -243,14 +245,14 @@ def near_documents(documents: DataFrame, pivots: int = 1, least_share: float = L
     least = F.greatest(low, F.floor(F.pow(F.lit(CLASS), F.col("size"))))
     looks = common.where(high >= low).withColumn("size", F.explode(F.sequence(class_of(low), class_of(high)))).where(F.col("r") <= F.col("u") - F.ceil((F.col("n") + least) * 3 / 7) + 1).withColumn("looks", F.lit(True))
     found = common.where("r <= u - ceil(n * 6 / 7) + 1").withColumn("size", class_of(F.col("n"))).withColumn("looks", F.lit(False))
-    every = stash(looks.unionByName(found).drop("df", "r"), "near")
+    every = stash(looks.unionByName(found).drop("df", "r"), "near", files)
     kinds = every.groupBy("v", "size", "part_a").agg(F.count("*").alias("m")).groupBy("v", "size").agg(F.max_by("part_a", F.struct("m", "part_a")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("v", "size", "main")
     # what two documents share lies within a third, the list's most central, or outside it; neither part exceeds what each has there
-    every = stash(every.join(stash(kinds, "near"), ["v", "size"]), "near")
-    hubs = stash(every.groupBy("v", "size").agg(F.max_by("a", F.struct("mid", "a")).alias("hub")), "near")
+    every = stash(every.join(stash(kinds, "near", files), ["v", "size"]), "near", files)
+    hubs = stash(every.groupBy("v", "size").agg(F.max_by("a", F.struct("mid", "a")).alias("hub")), "near", files)
     every = every.join(hubs, ["v", "size"])
-    inside = stash(_pairs(every.where("a <> hub").select("a", F.col("hub").alias("b")).distinct(), texts).mapInArrow(_overlap, "a long, hub long, inside long"), "near")
-    every = stash(every.join(inside, ["a", "hub"], "left").withColumn("inside", F.coalesce("inside", "n")).withColumn("outside", F.greatest(F.lit(0), F.col("u") - F.col("inside"))), "near")
+    inside = stash(_pairs(every.where("a <> hub").select("a", F.col("hub").alias("b")).distinct(), texts).mapInArrow(_overlap, "a long, hub long, inside long"), "near", files)
+    every = stash(every.join(inside, ["a", "hub"], "left").withColumn("inside", F.coalesce("inside", "n")).withColumn("outside", F.greatest(F.lit(0), F.col("u") - F.col("inside"))), "near", files)
     larger, minor = every.where("looks"), F.col("part_a") != F.col("main")
     other = every.where("NOT looks").select("v", "size", F.col("a").alias("b"), F.col("n").alias("n_b"), F.col("u").alias("u_b"), F.col("inside").alias("inside_b"), F.col("outside").alias("outside_b"), F.col("part_a").alias("part_b"), (F.col("part_a") != F.col("main")).alias("minor_b"))
     # two documents of the list's largest component have a path; each other pair has one outside it

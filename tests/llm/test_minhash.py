@@ -1,9 +1,11 @@
 import random
 import re
+from pathlib import Path
 
 import pytest
 
 from millrace.llm import minhash
+from millrace.llm.common import shared_dir
 from millrace.llm.minhash import OP8_SQL, drop_near_copies, near_documents, op8_bottom_k
 
 
@@ -85,6 +87,23 @@ def test_copies_inside_texts_beyond_the_sketch(docs):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_documents(docs(rows)).collect()} == want
 
 
+def test_many_partitions_make_few_files(spark, docs):
+    rows, folder = corpus(), Path(shared_dir(spark).removeprefix("file:"))
+    df, there = docs(rows).coalesce(4), set(folder.iterdir())
+    own = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        got = near_documents(df).collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == plain(rows)
+    made = [len(list(p.glob("part-*"))) for p in set(folder.iterdir()) - there]
+    assert len(made) > 20 and max(made) <= 2 * spark.sparkContext.defaultParallelism
+
+
 def test_ids_of_any_width(docs):
     rows = corpus()
     want = sorted(i for i, x in plain(rows).items() if x[2])
