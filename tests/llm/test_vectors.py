@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from millrace.llm.components import components
+from millrace.llm.components import components, least_of
 from millrace.llm.knn_join import OP10_SQL, _needed, knn_join, op10_voronoi_knn
 from millrace.llm.range_join import OP4_SQL, _axes, _linked, near_vectors, op4_near_vectors
 
@@ -121,3 +121,21 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert all(got[i] == 0 for i in [*range(51), 60]) and all(got[i] == 100 for i in (100, 101, 102)) and all(got[200 + i] == 200 for i in range(301))
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_a_hub_is_split_where_it_meets_its_minimum(spark):
+    """Found in the plan that ran: the components are the same with and without."""
+    own = {"spark.sql.shuffle.partitions": "20", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k"}
+    was = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        links = spark.range(0, 40000, 1, 40).selectExpr("if(id % 2 = 0, 7L, id) AS u", "id + 1 AS v")
+        both = links.join(least_of(links), "u")
+        got = {(r.u, r.v): r.m for r in both.collect()}
+        plan = both._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert got == {(7 if i % 2 == 0 or i == 7 else i, i + 1): 1 if i % 2 == 0 or i == 7 else i + 1 for i in range(40000)}
+    assert "SortMergeJoin(skew=true)" in plan
