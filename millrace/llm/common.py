@@ -9,6 +9,7 @@ import threading
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,13 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def files_for(spark: SparkSession, rows: int, each: int = 500_000) -> int:
-    """How many files are enough for a table of so many rows: one for ``each`` of them, and two a core at least.
+def files_for(spark: SparkSession, rows: int, each: int = 500_000, least: int = 0) -> int:
+    """How many files are enough for a table of so many rows: one for ``each`` of them, and two a core at least, but no second one below ``least`` rows a file.
 
     A file costs more than its rows where these are few: without Hadoop's native library, Spark
     starts six processes for each Parquet file in a local folder and four for each of a checkpoint.
     """
-    return max(2 * spark.sparkContext.defaultParallelism, -(-rows // each))
+    files = max(2 * spark.sparkContext.defaultParallelism, -(-rows // each))
+    return min(files, max(1, -(-rows // least))) if least else files
 
 
 def cut(df: DataFrame, files: int | None = None) -> DataFrame:
@@ -54,6 +56,11 @@ def cut(df: DataFrame, files: int | None = None) -> DataFrame:
     return (df.coalesce(files) if files else df).checkpoint(eager=True)
 
 
+def small(spark: SparkSession, rows: list[tuple], **columns: pa.DataType) -> DataFrame:
+    """A few rows of the driver's as a table. They go as Arrow: from a list of tuples Spark would start Python on the executors."""
+    return spark.createDataFrame(pa.table({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(columns.items())}))
+
+
 _MADE: list[tuple] = []
 
 

@@ -1,11 +1,14 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import sharding
+from millrace.llm.common import files_for, shared_dir, small
 from millrace.llm.sharding import _within, admitted, op6_label_propagation, propagate, shard_documents
 
 
@@ -121,3 +124,35 @@ def test_sums_of_many_buckets(spark, monkeypatch):
     for by in ([], ["by"]):
         got = sharding._running(df, by, "n", [F.col("id")], F.col("b"), 125, "before").collect()
         assert len(got) == 500 and all(r.before == sum(i % 7 for i in range(r.id) if not by or i % 2 == r.id % 2) for r in got)
+
+
+def test_many_partitions_make_few_files(spark, docs):
+    """Each file of a local folder costs processes, each of which counts with its executor's memory while it starts."""
+    texts = [(i, "same" if i % 3 == 0 else f"group {i // 40}") for i in range(1200)]
+    folder, own = Path(shared_dir(spark).removeprefix("file:")), {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    df, there, was = docs(texts).repartition(30), set(folder.iterdir()), {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        out = shard_documents(df, 20)
+        check(out.collect(), texts, 20)
+        parts = out.rdd.getNumPartitions()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    made = sorted(len(list(p.glob("part-*"))) for p in set(folder.iterdir()) - there)
+    assert len(made) > 5 and made[-1] <= 2 * spark.sparkContext.defaultParallelism and set(made[:-1]) == {1} and parts == 1
+
+
+def test_files_follow_rows(spark):
+    floor = 2 * spark.sparkContext.defaultParallelism
+    assert [files_for(spark, n) for n in (0, 10, 10**8)] == [floor, floor, 200]
+    assert [files_for(spark, n, least=100_000) for n in (0, 10, 100_001, 10**8)] == [1, 1, 2, 200]
+
+
+def test_the_drivers_rows_need_no_python_on_executors(spark):
+    rows = [(bytearray(b"a"), 1, 2**40), (b"\0", 0, -1)]
+    for some in (rows, []):
+        df = small(spark, some, g=pa.binary(), shard=pa.int32(), n=pa.int64())
+        assert [tuple(r) for r in df.collect()] == [(bytes(g), s, n) for g, s, n in some] and dict(df.dtypes) == {"g": "binary", "shard": "int", "n": "bigint"}
+        assert "ExistingRDD" not in df._jdf.queryExecution().toString()
